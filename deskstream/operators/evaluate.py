@@ -110,11 +110,11 @@ def roc_auc(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def pr_auc(rows: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """Average precision: precision at each distinct score, weighted by the recall it adds."""
     ranked = _by_score(rows, y, p)
-    total = ranked.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    total = ranked.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     joined = ranked.join(F.broadcast(total))  # one row by construction
-    above_pos = F.col("P") - F.col("pos_upto") + F.col("pos")
-    above_neg = F.col("N") - F.col("neg_upto") + F.col("neg")
-    part = F.col("pos") / F.nullif(F.col("P"), F.lit(0)) * (above_pos / (above_pos + above_neg))
+    above_pos = F.col("all_pos") - F.col("pos_upto") + F.col("pos")
+    above_neg = F.col("all_neg") - F.col("neg_upto") + F.col("neg")
+    part = F.col("pos") / F.nullif(F.col("all_pos"), F.lit(0)) * (above_pos / (above_pos + above_neg))
     return joined.agg(F.sum(part).alias("pr_auc"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -266,11 +269,6 @@ _WORD_DIFF_SCHEMA = "struct<added: int, removed: int, changed: boolean>"
 
 def word_diff(before: Column, after: Column) -> Column:
     """Words added and removed between two texts, and whether the trimmed texts differ."""
-    import re
-    from difflib import SequenceMatcher
-
-    import pandas as pd
-
     @F.pandas_udf(_WORD_DIFF_SCHEMA)
     def diff(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         rows = []

@@ -139,7 +139,8 @@ FROM labels l JOIN documents d ON d.doc_id = l.doc_id""",
     ),
     "replies": (
         [],
-        """SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id, a.turn, a.text AS body, b.text AS final_body
+        r"""SELECT a.conv_id * 1000 + a.turn AS id, a.conv_id, a.turn, regexp_replace(a.text, '[^\x00-\x7F]', '?', 'g') AS body,
+  regexp_replace(b.text, '[^\x00-\x7F]', '?', 'g') AS final_body
 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2
 WHERE a.role = 'assistant' AND b.role = 'assistant'""",
     ),

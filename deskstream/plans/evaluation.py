@@ -303,7 +303,7 @@ c AS (SELECT id, 'tier' AS feature, tier * 0.4 AS v FROM f UNION ALL SELECT id,
     + _CONTRIB.format(emb="'text_embedding', e0 * 1.5 + e1 * -0.7 FROM f)")
     + """ SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY round(abs(v), 9) DESC, feature) - 1 AS INT) AS pos, feature, v AS contribution FROM c
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(abs(v), 9) DESC, feature) <= 3""",
-    num="contribution",
+    num="contribution", digits=9,
 )
 def _top(i: Inputs) -> DataFrame:
     from deskstream.functions.scoring import top_factors

@@ -200,9 +200,9 @@ def _new_drafts(i: Inputs) -> DataFrame:
 @query(
     "store_draft_tickets",
     bind("drafts", "tickets")
-    + """, w AS (SELECT ticket_id, max(created_at + INTERVAL 1 DAY) AS at FROM drafts WHERE status = 'EDITED' GROUP BY 1)
-SELECT t.id, CASE WHEN at IS NOT NULL AND t.status IN ('TRIAGED', 'DRAFTED', 'TRIAGE_FAILED') THEN 'DRAFTED' ELSE t.status END AS status,
-  CASE WHEN at IS NOT NULL THEN 'READY' ELSE t.draft_state END AS draft_state, CASE WHEN at IS NOT NULL THEN at ELSE t.drafted_at END AS drafted_at FROM tickets t LEFT JOIN w ON w.ticket_id = t.id""",
+    + """, w AS (SELECT ticket_id, max(created_at + INTERVAL 1 DAY) AS new_at FROM drafts WHERE status = 'EDITED' GROUP BY 1)
+SELECT t.id, CASE WHEN new_at IS NOT NULL AND t.status IN ('TRIAGED', 'DRAFTED', 'TRIAGE_FAILED') THEN 'DRAFTED' ELSE t.status END AS status,
+  CASE WHEN new_at IS NOT NULL THEN 'READY' ELSE t.draft_state END AS draft_state, CASE WHEN new_at IS NOT NULL THEN new_at ELSE t.drafted_at END AS drafted_at FROM tickets t LEFT JOIN w ON w.ticket_id = t.id""",
     ts="drafted_at",
 )
 def _store_tickets(i: Inputs) -> DataFrame:

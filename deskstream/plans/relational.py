@@ -547,8 +547,8 @@ def _label_union(i: Inputs) -> DataFrame:
 @query(
     "event_log_union",
     bind("tickets", "clusters")
-    + """ SELECT event, count(*) AS n, count(at) AS dated, count(product) AS with_product FROM (
-SELECT 'ticket.created' AS event, created_at AS at, product FROM tickets UNION ALL
+    + """ SELECT event, count(*) AS n, count(at_time) AS dated, count(product) AS with_product FROM (
+SELECT 'ticket.created' AS event, created_at AS at_time, product FROM tickets UNION ALL
 SELECT 'ticket.triaged', triaged_at, NULL FROM tickets WHERE triaged_at IS NOT NULL UNION ALL
 SELECT 'ticket.drafted', drafted_at, NULL FROM tickets WHERE drafted_at IS NOT NULL UNION ALL
 SELECT 'ticket.resolved', resolved_at, NULL FROM tickets WHERE resolved_at IS NOT NULL UNION ALL

@@ -28,16 +28,16 @@ walk AS (SELECT DISTINCT u AS id, u AS root FROM e UNION SELECT e.v, walk.root F
 comp AS (SELECT id, min(root) AS component FROM walk GROUP BY 1)"""
 
 
-def links_of(i: Inputs) -> DataFrame:
-    return blockjoin.duplicate_links(i.vectors, TAU, WINDOW_HOURS)
+def links_of(i: Inputs, tau: float = TAU, window_hours: float = WINDOW_HOURS) -> DataFrame:
+    return blockjoin.duplicate_links(i.vectors, tau, window_hours)
 
 
-@query("duplicate_pairs", bind("vectors") + PAIRS + " SELECT * FROM pairs", num="similarity")
+@query("duplicate_pairs", bind("vectors") + PAIRS + " SELECT * FROM pairs", num="similarity", digits=9)
 def _pairs(i: Inputs) -> DataFrame:
     return blockjoin.duplicate_pairs(i.vectors, TAU, WINDOW_HOURS)
 
 
-@query("duplicate_links", bind("vectors") + PAIRS + LINKS + " SELECT * FROM links", num="similarity")
+@query("duplicate_links", bind("vectors") + PAIRS + LINKS + " SELECT * FROM links", num="similarity", digits=9)
 def _links(i: Inputs) -> DataFrame:
     return links_of(i)
 
@@ -77,10 +77,10 @@ def _components(i: Inputs) -> DataFrame:
 _MEMBERS = """, m AS (SELECT t.id, t.product, t.subject, t.created_at, t.customer_id, c.component AS cluster_id FROM tickets t JOIN comp c ON c.id = t.id)"""
 
 
-def members_of(i: Inputs) -> tuple[DataFrame, DataFrame]:
+def members_of(i: Inputs, tau: float = TAU, window_hours: float = WINDOW_HOURS) -> tuple[DataFrame, DataFrame]:
     """(clusters, members); members is cut because both it and its aggregates are used."""
     tickets = i.tickets.select("id", "product", "subject", "created_at", "customer_id")
-    components = graph.connected_components(links_of(i))
+    components = graph.connected_components(links_of(i, tau, window_hours))
     members = cut_lineage(tickets.join(components.withColumnRenamed("component", "cluster_id"), "id"))
     return graph.cluster_stats(members), members
 
@@ -105,8 +105,8 @@ _BURST = f""", b AS (SELECT id, cluster_id, created_at, count(*) OVER w AS n, co
 inc AS (SELECT cluster_id, min(created_at) FILTER (WHERE n >= {MIN_TICKETS} AND who >= {MIN_CUSTOMERS}) AS incident_flagged_at, max(n) AS peak_tickets, max(who) AS peak_customers FROM b GROUP BY 1)"""
 
 
-def incidents_of(i: Inputs) -> DataFrame:
-    clusters, members = members_of(i)
+def incidents_of(i: Inputs, tau: float = TAU, window_hours: float = WINDOW_HOURS) -> DataFrame:
+    clusters, members = members_of(i, tau, window_hours)
     return graph.incidents(members, clusters, BURST_MINUTES, MIN_TICKETS, MIN_CUSTOMERS)
 
 

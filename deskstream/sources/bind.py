@@ -217,8 +217,9 @@ class Inputs:
 
     @cached_property
     def replies(self) -> DataFrame:
-        """Consecutive assistant turns of a conversation as (draft, final) texts."""
-        turns = self.table("conversations").where(F.col("role") == "assistant")
+        """Consecutive assistant turns as (draft, final) texts; other than ASCII characters become ``?``."""
+        ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "?")
+        turns = self.table("conversations").where(F.col("role") == "assistant").withColumn("text", ascii_text)
         later = turns.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("final_body"))
         return turns.join(later, ["conv_id", "turn"]).selectExpr(
             "conv_id * 1000 + turn AS id", "conv_id", "turn", "text AS body", "final_body"
