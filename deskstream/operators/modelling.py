@@ -1,10 +1,547 @@
-"""placeholder"""
-from pyspark.sql import DataFrame
+"""Text features, classifiers, calibration and explanations on Spark ML.
+
+Features are hashed to a fixed width, so no vocabulary passes through the driver; only
+fitted models (bounded by their parameters) do.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    GBTClassifier,
+    LogisticRegression,
+    LogisticRegressionModel,
+    MultilayerPerceptronClassifier,
+)
+from pyspark.ml.feature import PCA, HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskstream.functions import scoring, text
+from deskstream.operators import evaluate
+from deskstream.operators.windows import ranked_in_group
+from deskstream.schemas import CATEGORIES, PRIORITIES
+from deskstream.session import cut_lineage
+
+SIGNAL_NAMES = [
+    "sig_deadline", "sig_outage", "sig_error_code", "sig_blocked", "sig_legal", "sig_churn",
+    "exclaim", "caps_ratio", "questions", "n_words", "vader_neg", "vader_compound",
+]
+META_NAMES = ["tier", "product", "hour", "weekday", "off_hours", "prior_tickets_7d", "similar_recent"]
+PCA_COMPONENTS = 32
+
+
+# -------------------------------------------------------------- term weights
+def _grams(words: Column, sizes: tuple[int, int]) -> Column:
+    """Word n-grams of every size in ``sizes``, joined by a blank."""
+
+    def of(n: int) -> Column:
+        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+
+    return reduce(F.concat, [of(n) for n in range(sizes[0], sizes[1] + 1)])
+
+
+def char_grams(value: Column, sizes: tuple[int, int] = (3, 5)) -> Column:
+    """Character n-grams inside words, each word padded with one blank on both sides.
+
+    A padded word shorter than n counts once for the sizes it does not reach.
+    """
+    words = F.regexp_extract_all(F.lower(value), F.lit(r"\S+"), F.lit(0))
+
+    def of(word: Column) -> Column:
+        padded = F.concat(F.lit(" "), word, F.lit(" "))
+        parts = []
+        for n in range(sizes[0], sizes[1] + 1):
+            starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+            grams = F.transform(starts, lambda i, n=n: F.substr(padded, i, F.lit(n)))
+            if n == sizes[0]:
+                parts.append(grams)
+            else:
+                # a word that already fitted whole into a smaller size is not repeated
+                parts.append(F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>")))
+        return reduce(F.concat, parts)
+
+    return F.flatten(F.transform(words, of))
+
+
+def tfidf_weights(terms: DataFrame, min_df: int, cap: int | None = None) -> DataFrame:
+    """(id, term, weight) from (id, terms): 1 + ln tf, smoothed idf, unit length per document.
+
+    With ``cap`` only the terms that occur most often in the corpus stay.
+    """
+    postings = terms.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    total = terms.agg(F.count(F.lit(1)).alias("n_docs"))
+    vocabulary = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).where(F.col("df") >= min_df)
+    if cap is not None:
+        vocabulary = vocabulary.orderBy(F.col("ctf").desc(), "term").limit(cap)
+    idf = vocabulary.join(F.broadcast(total)).select(  # one row
+        "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
+    )
+    raw = postings.join(idf, "term").select("id", "term", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
+    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
+def tfidf_word(rows: DataFrame, ngrams: tuple[int, int] = (1, 2), min_df: int = 2) -> DataFrame:
+    """Word 1-2 grams of (id, text); words have two or more characters."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    listed = rows.select("id", words.alias("words"))
+    return tfidf_weights(listed.select("id", _grams(F.col("words"), ngrams).alias("terms")), min_df)
+
+
+def tfidf_char(rows: DataFrame, ngrams: tuple[int, int] = (3, 5), min_df: int = 3, cap: int = 150_000) -> DataFrame:
+    """Character 3-5 grams of (id, text), at most ``cap`` of them."""
+    return tfidf_weights(rows.select("id", char_grams(F.col("text"), ngrams).alias("terms")), min_df, cap)
+
+
+# ------------------------------------------------------------------ embeddings
+class HashedEncoder:
+    """Stateless default encoder: signed hashed words and word pairs, unit length.
+
+    A stand-in for a sentence model: any callable from texts to a matrix can replace it.
+    """
+
+    def __init__(self, dim: int = 64):
+        self.dim = dim
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        import re
+        import zlib
+
+        out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        for row, value in enumerate(texts):
+            words = re.findall(r"\w+", value.lower())
+            for token in words + [a + " " + b for a, b in zip(words, words[1:])]:
+                h = zlib.crc32(token.encode())
+                out[row, h % self.dim] += 1.0 if h & 0x80000000 else -1.0
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm == 0, 1, norm)
+
+
+def embed_text(rows: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, batch: int = 32) -> DataFrame:
+    """Add ``embedding`` to (.., text): every distinct text is encoded once."""
+    encode = encoder or HashedEncoder()
+    keyed = rows.withColumn("_key", F.sha2("text", 256))
+    distinct = keyed.groupBy("_key").agg(F.first("text").alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start : start + batch]
+                yield pd.DataFrame({"_key": part["_key"], "embedding": list(encode(part["text"].tolist()))})
+
+    vectors = distinct.mapInPandas(run, "_key STRING, embedding ARRAY<FLOAT>")
+    return keyed.join(vectors, "_key").drop("_key")
+
+
+# ------------------------------------------------------------- shared helpers
+def text_stages(width: int = 1 << 18, min_df: int = 2, source: str = "text", target: str = "tfidf") -> list:
+    """Word 1-2 grams, hashed, idf-weighted, unit length, as Spark ML stages."""
+    return [
+        RegexTokenizer(inputCol=source, outputCol="_w", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
+        NGram(n=2, inputCol="_w", outputCol="_g"),
+        HashingTF(numFeatures=width, inputCol="_w", outputCol="_h1"),
+        HashingTF(numFeatures=width, inputCol="_g", outputCol="_h2"),
+        VectorAssembler(inputCols=["_h1", "_h2"], outputCol="_h"),
+        IDF(minDocFreq=min_df, inputCol="_h", outputCol="_i"),
+        Normalizer(inputCol="_i", outputCol=target),
+    ]
+
+
+def indexed(rows: DataFrame, label: str, classes: list[str]) -> DataFrame:
+    """Add ``y_index``: the position of the label in ``classes`` (a fixed order, so models agree on it)."""
+    order = F.array(*[F.lit(c) for c in classes])
+    return rows.withColumn("y_index", (F.array_position(order, F.col(label)) - 1).cast("double"))
+
+
+def balanced(rows: DataFrame, by: str = "y_index") -> DataFrame:
+    """Add ``weight``: rows / (classes * rows of the class)."""
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
+    weights = sizes.join(F.broadcast(total)).select(by, (F.col("_all") / (F.col("_k") * F.col("_n"))).alias("weight"))
+    return rows.join(F.broadcast(weights), by)  # one row per class
+
+
+def probabilities(scored: DataFrame, target: str) -> DataFrame:
+    return scored.withColumn(target, vector_to_array("probability")).drop("probability", "rawPrediction", "prediction")
+
+
+def predicted(scored: DataFrame, classes: list[str]) -> DataFrame:
+    """Add ``pred`` and ``conf`` from ``probability``."""
+    best = scoring.argmax_label(vector_to_array("probability"), classes)
+    return scored.withColumn("_b", best).withColumns({"pred": F.col("_b.label"), "conf": F.col("_b.confidence")}).drop("_b")
+
+
+# ---------------------------------------------------------------- classifiers
+@dataclass
+class Chosen:
+    """A fitted model, its validation score and the parameter it was chosen by."""
+
+    model: Transformer
+    score: float
+    parameter: float
+
+
+def fit_lr(train: DataFrame, features: str, strength: float, max_iter: int = 50) -> LogisticRegressionModel:
+    """Class-balanced multinomial logistic regression; ``strength`` is the inverse penalty on the summed loss."""
+    weighted = balanced(train)
+    n = train.count()
+    lr = LogisticRegression(
+        featuresCol=features, labelCol="y_index", weightCol="weight", family="multinomial",
+        regParam=1.0 / (strength * n), maxIter=max_iter,
+    )
+    return lr.fit(weighted)
+
+
+def category_lr(
+    train: DataFrame, val: DataFrame, label: str, classes: list[str], features: str = "features",
+    grid: tuple[float, ...] = (1.0, 3.0, 10.0, 30.0), max_iter: int = 50,
+) -> Chosen:
+    """The grid point with the best macro F1 on ``val``."""
+    fitted, best = indexed(train, label, classes), None
+    for strength in grid:
+        model = fit_lr(fitted, features, strength, max_iter)
+        judged = predicted(model.transform(val), classes)
+        score = evaluate.classification_summary(judged, label, "pred").first()["macro_f1"]
+        if best is None or score > best.score:
+            best = Chosen(model, score, strength)
+    return best
+
+
+def category_mlp(train: DataFrame, label: str, classes: list[str], width: int, hidden: int = 256, max_iter: int = 50, features: str = "features") -> Transformer:
+    layers = [width, hidden, len(classes)]
+    mlp = MultilayerPerceptronClassifier(featuresCol=features, labelCol="y_index", layers=layers, maxIter=max_iter, seed=0)
+    return mlp.fit(indexed(train, label, classes))
+
+
+def signal_columns(rows: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """Add the twelve text signals as ``signals`` (array<double>); sentiment is 0 without a lexicon."""
+    body = F.col("text")
+    fired = text.urgency_signals(body)
+    stats = text.text_stats(body)
+    out = rows.withColumn("_u", fired).withColumn("_s", stats)
+    if lexicon is not None:
+        from deskstream.operators.projection import sentiment_lexicon
+
+        scores = sentiment_lexicon(rows.select("id", text.tokens(F.col("text")).alias("tokens")), lexicon)
+        out = out.join(scores, "id", "left")
+    else:
+        out = out.withColumns({"neg": F.lit(0.0), "compound": F.lit(0.0)})
+    names = [name for name, _, _ in text.SIGNAL_PATTERNS]
+    values = [F.col(f"_u.{n}").cast("double") for n in names]
+    values += [F.col(f"_s.{n}").cast("double") for n in ("exclaim", "caps_ratio", "questions", "n_words")]
+    values += [F.coalesce(c, F.lit(0.0)) for c in ("neg", "compound")]
+    return out.withColumn("signals", F.array(*values)).drop("_u", "_s", "neg", "compound")
+
+
+def priority_features(train: DataFrame, width: int = 1 << 18, lexicon: DataFrame | None = None) -> tuple[Pipeline, Callable[[DataFrame], DataFrame]]:
+    """(unfitted feature stages, preparation): TF-IDF, scaled signals and tier one-hot in ``features``."""
+
+    def prepare(rows: DataFrame) -> DataFrame:
+        marked = signal_columns(rows, lexicon)
+        return marked.withColumns(
+            {"_sv": array_to_vector("signals"), "_tv": array_to_vector(scoring.one_hot_tier(F.col("customer_tier")))}
+        )
+
+    stages = [
+        *text_stages(width),
+        StandardScaler(inputCol="_sv", outputCol="_ss", withMean=True, withStd=True),
+        VectorAssembler(inputCols=["tfidf", "_ss", "_tv"], outputCol="features"),
+    ]
+    return Pipeline(stages=stages), prepare
+
+
+def priority_lr(
+    train: DataFrame, val: DataFrame, grid: tuple[float, ...] = (0.3, 1.0, 3.0, 10.0), width: int = 1 << 18,
+    lexicon: DataFrame | None = None, max_iter: int = 50, target: float = 0.90,
+) -> tuple[PipelineModel, Callable[[DataFrame], DataFrame], Chosen, float]:
+    """(feature model, preparation, chosen classifier, URGENT weight).
+
+    The weight is the smallest of 1, 1.25 .. 6 whose validation recall of URGENT reaches ``target``.
+    """
+    stages, prepare = priority_features(train, width, lexicon)
+    features = stages.fit(prepare(train))
+    keep = ["id", "priority", "features"]
+    fit_rows = cut_lineage(features.transform(prepare(train)).select(*keep))
+    val_rows = cut_lineage(features.transform(prepare(val)).select(*keep))
+    chosen = category_lr(fit_rows, val_rows, "priority", PRIORITIES, grid=grid, max_iter=max_iter)
+    scored = chosen.model.transform(val_rows).select(F.col("priority").alias("y"), vector_to_array("probability").alias("probs"))
+    sweep = evaluate.urgent_weight_sweep(scored, PRIORITIES, target).where("chosen").first()
+    return features, prepare, chosen, float(sweep["weight"]) if sweep else 1.0
+
+
+def out_of_fold_probs(
+    train: DataFrame, rest: DataFrame, label: str, classes: list[str], features: str = "features",
+    k: int = 5, strength: float = 30.0, max_iter: int = 50,
+) -> DataFrame:
+    """(id, probs): train rows scored by models that never saw them, other rows by the full fit.
+
+    Folds are stratified: the hash order inside every class deals its rows out in turn.
+    """
+    hashed = indexed(train, label, classes).withColumn("_h", F.md5(F.col("id").cast("string")))
+    dealt = ranked_in_group(hashed, [label], "_h", ["id"]).withColumn("fold", F.col("position") % k)
+    folded = cut_lineage(dealt.drop("_h", "position", "group_size"))
+    parts = []
+    for fold in range(k):
+        model = fit_lr(folded.where(F.col("fold") != fold), features, strength, max_iter)
+        parts.append(probabilities(model.transform(folded.where(F.col("fold") == fold)), "probs").select("id", "probs"))
+    full = fit_lr(folded, features, strength, max_iter)
+    parts.append(probabilities(full.transform(rest), "probs").select("id", "probs"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fit_pca(train: DataFrame, k: int = PCA_COMPONENTS) -> Transformer:
+    return PCA(k=k, inputCol="_ev", outputCol="_pc").fit(train.withColumn("_ev", array_to_vector("embedding")))
+
+
+def escalation_features(
+    rows: DataFrame, pca: Transformer, category_probs: DataFrame, priority_probs: DataFrame, lexicon: DataFrame | None = None
+) -> DataFrame:
+    """Add ``x`` (array<double>): 12 signals, PCA of the embedding, class probabilities, 7 context values.
+
+    ``rows`` has id, text, embedding, customer_tier, product, created_at, prior_tickets_7d, similar_recent.
+    """
+    reduced = pca.transform(signal_columns(rows, lexicon).withColumn("_ev", array_to_vector("embedding")))
+    clock = scoring.time_features(F.col("created_at"))
+    meta = F.array(
+        scoring.tier_ordinal(F.col("customer_tier")).cast("double"),
+        scoring.product_index(F.col("product")).cast("double"),
+        clock["hour"].cast("double"),
+        clock["weekday"].cast("double"),
+        clock["off_hours"].cast("double"),
+        F.col("prior_tickets_7d").cast("double"),
+        F.col("similar_recent").cast("double"),
+    )
+    joined = reduced.join(category_probs.withColumnRenamed("probs", "_cp"), "id").join(
+        priority_probs.withColumnRenamed("probs", "_pp"), "id"
+    )
+    return joined.withColumn("x", F.concat("signals", vector_to_array("_pc"), "_cp", "_pp", meta)).drop(
+        "_ev", "_pc", "_cp", "_pp", "signals"
+    )
+
+
+def escalation_names(components: int = PCA_COMPONENTS) -> list[str]:
+    return [
+        *SIGNAL_NAMES,
+        *[f"emb_pc{i}" for i in range(components)],
+        *[f"p_cat_{c}" for c in CATEGORIES],
+        *[f"p_pri_{p}" for p in PRIORITIES],
+        *META_NAMES,
+    ]
+
+
+def _auc(model: Transformer, rows: DataFrame, y: str) -> float:
+    scored = model.transform(rows).select(F.col(y).alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+    return evaluate.roc_auc(scored).first()["roc_auc"] or 0.0
+
+
+def escalation_gbt(train: DataFrame, val: DataFrame, trials: int = 20, max_iter: int = 100, seed: int = 0) -> Chosen:
+    """Boosted trees: random search on validation AUC, each trial stopped early by the validation loss.
+
+    Both frames have features (vector) and y_index.
+    """
+    rng = np.random.default_rng(seed)
+    both = cut_lineage(train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True))))
+    held = both.where("_val")
+    best = None
+    for trial in range(trials):
+        gbt = GBTClassifier(
+            featuresCol="features", labelCol="y_index", validationIndicatorCol="_val", maxIter=max_iter, seed=trial,
+            stepSize=0.1, maxDepth=int(rng.choice([3, 4, 5])), minInstancesPerNode=int(rng.choice([20, 40, 80])),
+            subsamplingRate=float(rng.choice([0.7, 0.9])), featureSubsetStrategy=str(rng.choice(["0.5", "0.7", "0.9"])),
+        )
+        model = gbt.fit(both)
+        score = _auc(model, held, "y_index")
+        if best is None or score > best.score:
+            best = Chosen(model, score, float(trial))
+    return best
+
+
+def logreg_baseline(train: DataFrame, test: DataFrame, max_iter: int = 50) -> float:
+    """AUC of a standardised logistic regression on the same features."""
+    stages = [
+        StandardScaler(inputCol="features", outputCol="_z", withMean=True),
+        LogisticRegression(featuresCol="_z", labelCol="y_index", regParam=1.0 / train.count(), maxIter=max_iter),
+    ]
+    return _auc(Pipeline(stages=stages).fit(train), test, "y_index")
+
+
+def oracle_model(train: DataFrame, test: DataFrame, inputs: list[str], max_iter: int = 50) -> float:
+    """AUC reachable with the hidden inputs of the outcome; ``inputs`` are numeric columns."""
+    assemble = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
+    return logreg_baseline(assemble.transform(train), assemble.transform(test), max_iter)
+
+
+# ---------------------------------------------------------------- calibration
+def platt_calibrate(scores: DataFrame, y: str = "y", p: str = "p") -> tuple[float, float]:
+    """(slope, intercept) of a logistic regression on the logit of the raw score."""
+    rows = scores.select(F.col(y).cast("double").alias("label"), array_to_vector(F.array(scoring.logit(F.col(p)))).alias("features"))
+    model = LogisticRegression(regParam=0.0, maxIter=100, standardization=False).fit(rows)
+    return float(model.coefficients[0]), float(model.intercept)
+
+
+def isotonic_calibrate(scores: DataFrame, y: str = "y", p: str = "p") -> Transformer:
+    """A monotone step-wise fit; scores beyond the fitted range are clipped to it.
+
+    Equal scores are merged before the fit, so its input is the number of distinct scores.
+    """
+    merged = scores.groupBy(F.col(p).alias("score")).agg(
+        F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
+    )
+    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(merged)
+
+
+# --------------------------------------------------------------- explanations
+def linear_contributions(rows: DataFrame, coefficients: list[float], names: list[str], x: str = "x") -> DataFrame:
+    """Add ``contributions``: coefficient times value per feature, exact for a linear model."""
+    items = [
+        F.struct(F.lit(name).alias("feature"), (F.lit(float(w)) * F.get(F.col(x), F.lit(i))).alias("value"))
+        for i, (name, w) in enumerate(zip(names, coefficients))
+    ]
+    return rows.withColumn("contributions", F.array(*items))
+
+
+def _flatten_tree(root) -> dict[str, np.ndarray]:
+    """A fitted tree as arrays: feature (-1 at a leaf), threshold, children, prediction."""
+    feature, threshold, left, right, value = [], [], [], [], []
+
+    def add(node) -> int:
+        at = len(feature)
+        feature.append(-1)
+        threshold.append(0.0)
+        left.append(-1)
+        right.append(-1)
+        value.append(float(node.prediction()))
+        if node.subtreeDepth() > 0:
+            split = node.split()
+            feature[at], threshold[at] = int(split.featureIndex()), float(split.threshold())
+            left[at], right[at] = add(node.leftChild()), add(node.rightChild())
+        return at
+
+    add(root)
+    return {
+        "feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left),
+        "right": np.array(right), "value": np.array(value),
+    }
+
+
+def tree_contributions(rows: DataFrame, model: GBTClassificationModel, names: list[str], x: str = "x") -> DataFrame:
+    """Add ``contributions`` of a boosted model: the change of the node value along each path.
+
+    The contributions and the root values add up to the margin of the model.
+    """
+    trees = [(w, _flatten_tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
+
+    @F.pandas_udf("array<double>")
+    def walk(values: pd.Series) -> pd.Series:
+        data = np.stack(values.to_numpy()) if len(values) else np.zeros((0, len(names)))
+        out = np.zeros((len(data), len(names)))
+        for weight, tree in trees:
+            at = np.zeros(len(data), dtype=int)
+            while True:
+                feature = tree["feature"][at]
+                inner = np.flatnonzero(feature >= 0)
+                if not len(inner):
+                    break
+                here, split = at[inner], feature[inner]
+                goes_left = data[inner, split] <= tree["threshold"][here]
+                nxt = np.where(goes_left, tree["left"][here], tree["right"][here])
+                out[inner, split] += weight * (tree["value"][nxt] - tree["value"][here])
+                at[inner] = nxt
+        return pd.Series(list(out))
+
+    listed = F.array(*[F.lit(n) for n in names])
+    zipped = F.zip_with(listed, walk(F.col(x)), lambda n, v: F.struct(n.alias("feature"), v.alias("value")))
+    return rows.withColumn("contributions", zipped)
+
 
 def global_importance(contributions: DataFrame, k: int = 12) -> DataFrame:
     """Mean absolute contribution per feature, the ``k`` largest."""
     flat = contributions.select(F.explode("contributions").alias("c"))
     means = flat.groupBy(F.col("c.feature").alias("feature")).agg(F.avg(F.abs("c.value")).alias("mean_abs"))
     return means.orderBy(F.col("mean_abs").desc(), "feature").limit(k)
+
+
+# --------------------------------------------------------------------- scoring
+@dataclass
+class Models:
+    """Everything :func:`batch_score` needs, fitted."""
+
+    category: Transformer
+    priority_features: PipelineModel
+    priority_prepare: Callable[[DataFrame], DataFrame]
+    priority: Transformer
+    urgent_weight: float
+    pca: Transformer
+    escalation: GBTClassificationModel
+    platt: tuple[float, float]
+    senior_threshold: float = 0.4
+
+
+def batch_score(rows: DataFrame, models: Models) -> DataFrame:
+    """Labels, confidences, probabilities, risk, route and the three main factors in one pass.
+
+    ``rows`` has id, text, embedding and the context columns of :func:`escalation_features`.
+    """
+    labelled = rows.select("id", array_to_vector("embedding").alias("features"))
+    category = models.category.transform(labelled).select("id", vector_to_array("probability").alias("probs"))
+    prepared = models.priority_features.transform(models.priority_prepare(rows))
+    raw = models.priority.transform(prepared).select("id", vector_to_array("probability").alias("probs"))
+    adjusted = raw.withColumn("adjusted", scoring.urgent_reweight(F.col("probs"), models.urgent_weight))
+
+    names = escalation_names()
+    featured = escalation_features(rows, models.pca, category, raw)
+    scored = models.escalation.transform(featured.withColumn("features", array_to_vector("x")))
+    risk = scoring.logit_platt(F.get(vector_to_array("probability"), F.lit(1)), *models.platt)
+    risked = tree_contributions(scored.withColumn("risk", risk), models.escalation, names)
+    best_category = scoring.argmax_label(F.col("category_probs"), CATEGORIES)
+    best_priority = scoring.argmax_label(F.col("priority_probs"), PRIORITIES)
+    return (
+        risked.select("id", "risk", scoring.top_factors(F.col("contributions")).alias("factors"))
+        .join(category.withColumnRenamed("probs", "category_probs"), "id")
+        .join(adjusted.select("id", F.col("adjusted").alias("priority_probs")), "id")
+        .withColumns({"_c": best_category, "_p": best_priority})
+        .select(
+            "id",
+            F.col("_c.label").alias("category"),
+            F.col("_c.confidence").alias("category_conf"),
+            F.col("_p.label").alias("priority"),
+            F.col("_p.confidence").alias("priority_conf"),
+            scoring.cascade_flag(F.col("_c.confidence")).alias("needs_llm"),
+            "risk",
+            scoring.route_queue(F.col("risk"), models.senior_threshold).alias("queue"),
+            "factors",
+            "category_probs",
+            "priority_probs",
+        )
+    )
+
+
+def robustness(
+    rows: DataFrame, causes: DataFrame | None, mask: bool, fit: Callable[[DataFrame], Transformer], classes: list[str]
+) -> DataFrame:
+    """Retrain and judge with codes masked and / or with some root causes unseen, one summary row.
+
+    ``rows`` has id, text, split, root_cause_id, category; ``fit`` returns a model that adds ``probability``.
+    """
+    from deskstream.operators.joins import heldout_split
+
+    seen = rows.withColumn("text", text.mask_error_codes(F.col("text"))) if mask else rows
+    if causes is None:
+        train, test = seen.where(F.col("split") == "train"), seen.where(F.col("split") == "test")
+    else:
+        train, test = heldout_split(seen, causes)
+    judged = predicted(fit(train).transform(test), classes)
+    return evaluate.classification_summary(judged, "category", "pred")

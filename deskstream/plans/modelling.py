@@ -1 +1,248 @@
-"""placeholder"""
+"""Models over the driver tables. Small iteration counts; the operators' defaults are larger."""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from deskstream.functions import scoring
+from deskstream.operators import evaluate
+from deskstream.operators import modelling as op
+from deskstream.plans.bindings import bind
+from deskstream.plans.registry import query
+from deskstream.schemas import CATEGORIES, PRIORITIES
+from deskstream.session import cut_lineage
+from deskstream.sources.bind import Inputs
+
+WIDTH, ITERATIONS, DIM = 1 << 12, 10, 64
+
+_WEIGHTS = """, p AS (SELECT id, term, count(*) AS tf FROM terms GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= {min_df}),
+r AS (SELECT id, term, (1 + ln(tf)) * (ln(((SELECT count(*) FROM notes) + 1) / (df + 1)) + 1) AS w FROM p JOIN d USING (term)),
+n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1)
+SELECT id, count(*) AS terms, max(w / norm) AS top_weight, sum(w / norm) AS total_weight FROM r JOIN n USING (id) GROUP BY 1"""
+
+
+def _digest(weights: DataFrame) -> DataFrame:
+    return weights.groupBy("id").agg(
+        F.count(F.lit(1)).alias("terms"), F.max("weight").alias("top_weight"), F.sum("weight").alias("total_weight")
+    )
+
+
+@query(
+    "tfidf_word",
+    bind("notes")
+    + r""", toks AS (SELECT id, regexp_extract_all(lower(subject || chr(10) || body), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM notes),
+terms AS (SELECT id, unnest(w) AS term FROM toks UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM toks)"""
+    + _WEIGHTS.format(min_df=2),
+    num="top_weight total_weight",
+)
+def _tfidf_word(i: Inputs) -> DataFrame:
+    return _digest(op.tfidf_word(_texts(i).select("id", "text")))
+
+
+@query("tfidf_char")
+def _tfidf_char(i: Inputs) -> DataFrame:
+    return _digest(op.tfidf_char(_texts(i).select("id", "text")))
+
+
+def _texts(i: Inputs) -> DataFrame:
+    """Documents as labelled tickets, split by a hash of the id; escalated follows from tier, priority and category."""
+    digit = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 1), 16, 10).cast("int")
+    odds = scoring.escalation_logit(
+        F.col("customer_tier"), F.col("priority"), F.lit(0.0), F.col("category") == "BILLING", F.lit(True),
+        scoring.time_features(F.col("created_at"))["off_hours"], F.lit(2), F.col("category"),
+    )
+    return i.notes.withColumns(
+        {
+            "text": F.concat("subject", F.lit("\n"), "body"),
+            "split": F.when(digit < 10, F.lit("train")).when(digit < 13, F.lit("val")).otherwise(F.lit("test")),
+            "root_cause_id": F.concat_ws("-", "category", F.col("id") % 4),
+            "prior_tickets_7d": F.col("id") % 6,
+            "similar_recent": F.col("id") % 3,
+            "escalated": (odds > -1.2).cast("double"),
+        }
+    )
+
+
+def _embedded(i: Inputs) -> DataFrame:
+    """Texts with vectors and their Spark ML form, cut once because every fit reads it again."""
+    vectors = op.embed_text(_texts(i), op.HashedEncoder(DIM))
+    return cut_lineage(vectors.withColumn("features", array_to_vector("embedding")))
+
+
+def _part(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.where(F.col("split").isin(*names))
+
+
+@query("embed_text")
+def _embed(i: Inputs) -> DataFrame:
+    rows = op.embed_text(_texts(i).select("id", "text"), op.HashedEncoder(DIM))
+    return rows.select("id", F.size("embedding").alias("dim"), scoring.cosine(F.col("embedding"), F.col("embedding")).alias("norm2"))
+
+
+@query("category_lr")
+def _category(i: Inputs) -> DataFrame:
+    rows = _embedded(i)
+    chosen = op.category_lr(_part(rows, "train"), _part(rows, "val"), "category", CATEGORIES, grid=(3.0, 30.0), max_iter=ITERATIONS)
+    return evaluate.classification_report(op.predicted(chosen.model.transform(_part(rows, "test")), CATEGORIES), "category", "pred")
+
+
+@query("category_mlp")
+def _mlp(i: Inputs) -> DataFrame:
+    rows = _embedded(i)
+    model = op.category_mlp(_part(rows, "train"), "category", CATEGORIES, DIM, hidden=32, max_iter=ITERATIONS)
+    return evaluate.classification_summary(op.predicted(model.transform(_part(rows, "test")), CATEGORIES), "category", "pred")
+
+
+@query("priority_features")
+def _priority_features(i: Inputs) -> DataFrame:
+    rows = _texts(i)
+    stages, prepare = op.priority_features(rows, WIDTH)
+    out = stages.fit(prepare(_part(rows, "train"))).transform(prepare(rows))
+    dense = vector_to_array("_ss")
+    return out.select("id", F.get(dense, F.lit(0)).alias("deadline"), F.get(dense, F.lit(9)).alias("n_words"), "customer_tier")
+
+
+@query("priority_lr")
+def _priority(i: Inputs) -> DataFrame:
+    rows = _texts(i)
+    features, prepare, chosen, weight = op.priority_lr(
+        _part(rows, "train"), _part(rows, "val"), grid=(1.0,), width=WIDTH, max_iter=ITERATIONS
+    )
+    scored = chosen.model.transform(features.transform(prepare(_part(rows, "test"))))
+    adjusted = scoring.urgent_reweight(vector_to_array("probability"), weight)
+    judged = scored.select(F.col("priority").alias("y"), scoring.argmax_label(adjusted, PRIORITIES)["label"].alias("pred"))
+    return evaluate.urgent_metrics(judged, PRIORITIES).withColumn("urgent_weight", F.lit(weight))
+
+
+@query("out_of_fold_probs")
+def _oof(i: Inputs) -> DataFrame:
+    rows = _embedded(i)
+    probs = op.out_of_fold_probs(_part(rows, "train"), _part(rows, "val", "test"), "category", CATEGORIES, max_iter=ITERATIONS)
+    return probs.select("id", F.size("probs").alias("classes"), F.array_max("probs").alias("best"))
+
+
+def _escalation_rows(i: Inputs) -> tuple[DataFrame, object]:
+    """(rows with ``x``, features and y_index, pca); the class probabilities are out of fold."""
+    rows = _embedded(i)
+    train, rest = _part(rows, "train"), _part(rows, "val", "test")
+    category = op.out_of_fold_probs(train, rest, "category", CATEGORIES, k=2, max_iter=ITERATIONS)
+    priority = op.out_of_fold_probs(train, rest, "priority", PRIORITIES, k=2, max_iter=ITERATIONS)
+    pca = op.fit_pca(train)
+    featured = op.escalation_features(rows.drop("features"), pca, category, priority)
+    ready = featured.withColumns({"features": array_to_vector("x"), "y_index": F.col("escalated")})
+    return cut_lineage(ready.select("id", "split", "x", "features", "y_index")), pca
+
+
+@query("escalation_features")
+def _escalation_features(i: Inputs) -> DataFrame:
+    rows, _ = _escalation_rows(i)
+    return rows.select("id", F.size("x").alias("width"), F.lit(len(op.escalation_names())).alias("names"), F.get("x", F.lit(56)).alias("tier"))
+
+
+def _gbt(rows: DataFrame) -> op.Chosen:
+    return op.escalation_gbt(_part(rows, "train"), _part(rows, "val"), trials=2, max_iter=8)
+
+
+def _raw_scores(model, rows: DataFrame) -> DataFrame:
+    return model.transform(rows).select("id", F.col("y_index").alias("y"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+
+
+@query("escalation_gbt")
+def _escalation(i: Inputs) -> DataFrame:
+    rows, _ = _escalation_rows(i)
+    chosen = _gbt(rows)
+    scores = _raw_scores(chosen.model, _part(rows, "test"))
+    return evaluate.roc_auc(scores).join(evaluate.brier(scores)).withColumn("val_auc", F.lit(chosen.score))  # one row each
+
+
+@query("platt_calibrate")
+def _platt(i: Inputs) -> DataFrame:
+    slope, intercept = op.platt_calibrate(i.scored)
+    calibrated = i.scored.select("y", scoring.logit_platt(F.col("p"), slope, intercept).alias("p"))
+    return evaluate.ece_binary(calibrated).join(evaluate.brier(calibrated))  # one row each
+
+
+@query("isotonic_calibrate")
+def _isotonic(i: Inputs) -> DataFrame:
+    model = op.isotonic_calibrate(i.scored)
+    calibrated = model.transform(i.scored.withColumnRenamed("p", "score")).select("id", "y", F.col("prediction").alias("p"))
+    return evaluate.reliability_curve(calibrated)
+
+
+@query("contributions")
+def _contributions(i: Inputs) -> DataFrame:
+    """Tree contributions of the test rows; with the root values they add up to the margin."""
+    rows, _ = _escalation_rows(i)
+    model = _gbt(rows).model
+    explained = op.tree_contributions(_part(rows, "test"), model, op.escalation_names())
+    return explained.select("id", F.posexplode(scoring.top_factors(F.col("contributions"))).alias("pos", "f")).select("id", "pos", "f.*")
+
+
+@query("linear_contributions")
+def _linear(i: Inputs) -> DataFrame:
+    rows, _ = _escalation_rows(i)
+    model = LogisticRegression(labelCol="y_index", maxIter=ITERATIONS, regParam=0.01).fit(_part(rows, "train"))
+    explained = op.linear_contributions(_part(rows, "test"), list(model.coefficients), op.escalation_names())
+    return op.global_importance(explained)
+
+
+@query("logreg_baseline")
+def _baseline(i: Inputs) -> DataFrame:
+    rows, _ = _escalation_rows(i)
+    auc = op.logreg_baseline(_part(rows, "train"), _part(rows, "test"), ITERATIONS)
+    return _part(rows, "test").agg(F.count(F.lit(1)).alias("n")).withColumn("auc", F.lit(auc))
+
+
+@query("oracle_model")
+def _oracle(i: Inputs) -> DataFrame:
+    rows = _texts(i).withColumns(
+        {
+            "tier": scoring.tier_ordinal(F.col("customer_tier")).cast("double"),
+            "urgent": F.col("priority").isin("HIGH", "URGENT").cast("double"),
+            "privacy": (F.col("category") == "DATA_PRIVACY").cast("double"),
+            "y_index": F.col("escalated"),
+        }
+    )
+    auc = op.oracle_model(_part(rows, "train"), _part(rows, "test"), ["tier", "urgent", "privacy"], ITERATIONS)
+    return _part(rows, "test").agg(F.count(F.lit(1)).alias("n")).withColumn("auc", F.lit(auc))
+
+
+@query("batch_score")
+def _score(i: Inputs) -> DataFrame:
+    rows = _embedded(i)
+    train, val = _part(rows, "train"), _part(rows, "val")
+    category = op.category_lr(train, val, "category", CATEGORIES, grid=(30.0,), max_iter=ITERATIONS)
+    text_only = rows.drop("features")
+    features, prepare, priority, weight = op.priority_lr(
+        _part(text_only, "train"), _part(text_only, "val"), grid=(1.0,), width=WIDTH, max_iter=ITERATIONS
+    )
+    escalation, pca = _escalation_rows(i)
+    gbt = _gbt(escalation)
+    platt = op.platt_calibrate(_raw_scores(gbt.model, _part(escalation, "val")))
+    models = op.Models(category.model, features, prepare, priority.model, weight, pca, gbt.model, platt)
+    scored = op.batch_score(text_only, models)
+    return scored.select("id", "category", "category_conf", "priority", "needs_llm", "risk", "queue", F.size("factors").alias("factors"))
+
+
+def _fit_text(train: DataFrame):
+    rows = op.indexed(train, "category", CATEGORIES)
+    lr = LogisticRegression(featuresCol="tfidf", labelCol="y_index", maxIter=ITERATIONS, regParam=0.001)
+    return Pipeline(stages=[*op.text_stages(WIDTH), lr]).fit(rows)
+
+
+@query("robustness_masked")
+def _masked(i: Inputs) -> DataFrame:
+    return op.robustness(cut_lineage(_texts(i)), None, True, _fit_text, CATEGORIES)
+
+
+@query("robustness_unseen")
+def _unseen(i: Inputs) -> DataFrame:
+    """One of the four causes of every category is never trained on; with and without masked codes."""
+    rows = cut_lineage(_texts(i))
+    causes = rows.select("root_cause_id").distinct().where(F.col("root_cause_id").endswith("-2") | F.col("root_cause_id").endswith("-0"))
+    run = lambda mask: op.robustness(rows, causes, mask, _fit_text, CATEGORIES).withColumn("masked", F.lit(mask))
+    return run(False).unionByName(run(True))
