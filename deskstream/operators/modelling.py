@@ -23,7 +23,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import PCA, HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskstream.functions import scoring, text
@@ -42,47 +42,43 @@ PCA_COMPONENTS = 32
 
 # -------------------------------------------------------------- term weights
 def _grams(words: Column, sizes: tuple[int, int]) -> Column:
-    """Word n-grams of every size in ``sizes``, joined by a blank."""
+    """Word n-grams of every size in ``sizes``, joined by a blank; linear in the number of words."""
 
     def of(n: int) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
+        count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+        shifted = [F.slice(words, k + 1, count) for k in range(n)]
+        return reduce(lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, F.lit(" "), y)), shifted)
 
     return reduce(F.concat, [of(n) for n in range(sizes[0], sizes[1] + 1)])
 
 
-def char_grams(value: Column, sizes: tuple[int, int] = (3, 5)) -> Column:
-    """Character n-grams inside words, each word padded with one blank on both sides.
+def char_grams(word: Column, sizes: tuple[int, int] = (3, 5)) -> Column:
+    """Character n-grams of one word padded with a blank on both sides.
 
-    A padded word shorter than n counts once for the sizes it does not reach.
+    A padded word shorter than the smallest size counts once as a whole.
     """
-    words = F.regexp_extract_all(F.lower(value), F.lit(r"\S+"), F.lit(0))
-
-    def of(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
-        parts = []
-        for n in range(sizes[0], sizes[1] + 1):
-            starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
-            grams = F.transform(starts, lambda i, n=n: F.substr(padded, i, F.lit(n)))
-            if n == sizes[0]:
-                parts.append(grams)
-            else:
-                # a word that already fitted whole into a smaller size is not repeated
-                parts.append(F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>")))
-        return reduce(F.concat, parts)
-
-    return F.flatten(F.transform(words, of))
-
-
-def tfidf_weights(terms: DataFrame, min_df: int, cap: int | None = None) -> DataFrame:
-    """(id, term, weight) from (id, terms): 1 + ln tf, smoothed idf, unit length per document.
-
-    With ``cap`` only the terms that occur most often in the corpus stay.
+    padded = F.concat(F.lit(" "), word, F.lit(" "))
+    parts = []
+    cut = lambda n: (lambda i: F.substr(padded, i, F.lit(n)))
+    for n in range(sizes[0], sizes[1] + 1):
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+        grams = F.transform(starts, cut(n))
+        if n == sizes[0]:
+            parts.append(grams)
+        else:
+            # a word that already fitted whole into a smaller size is not repeated
+            parts.append(F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>")))
+    return reduce(F.concat, parts)
+
+
+def tfidf_weights(postings: DataFrame, rows: DataFrame, min_df: int, cap: int | None = None) -> DataFrame:
+    """(id, term, weight) from (id, term, tf): 1 + ln tf, smoothed idf, unit length per document.
+
+    With ``cap`` only the terms that occur most often in the corpus stay. The postings are
+    written once, because both the vocabulary and the weights read them.
     """
-    postings = terms.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = terms.agg(F.count(F.lit(1)).alias("n_docs"))
+    postings = cut_lineage(postings)
+    total = rows.agg(F.count(F.lit(1)).alias("n_docs"))
     vocabulary = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).where(F.col("df") >= min_df)
     if cap is not None:
         vocabulary = vocabulary.orderBy(F.col("ctf").desc(), "term").limit(cap)
@@ -90,20 +86,28 @@ def tfidf_weights(terms: DataFrame, min_df: int, cap: int | None = None) -> Data
         "term", (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1).alias("idf")
     )
     raw = postings.join(idf, "term").select("id", "term", ((F.log("tf") + 1) * F.col("idf")).alias("w"))
-    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # one document's terms at a time, so the window is as small as a document
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return raw.select("id", "term", (F.col("w") / norm).alias("weight"))
 
 
 def tfidf_word(rows: DataFrame, ngrams: tuple[int, int] = (1, 2), min_df: int = 2) -> DataFrame:
     """Word 1-2 grams of (id, text); words have two or more characters."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     listed = rows.select("id", words.alias("words"))
-    return tfidf_weights(listed.select("id", _grams(F.col("words"), ngrams).alias("terms")), min_df)
+    terms = listed.select("id", F.explode(_grams(F.col("words"), ngrams)).alias("term"))
+    return tfidf_weights(terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), rows, min_df)
 
 
 def tfidf_char(rows: DataFrame, ngrams: tuple[int, int] = (3, 5), min_df: int = 3, cap: int = 150_000) -> DataFrame:
-    """Character 3-5 grams of (id, text), at most ``cap`` of them."""
-    return tfidf_weights(rows.select("id", char_grams(F.col("text"), ngrams).alias("terms")), min_df, cap)
+    """Character 3-5 grams of (id, text), at most ``cap`` of them.
+
+    Words are counted per document first, so a repeated word is cut into grams once.
+    """
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"\S+"), F.lit(0))
+    counted = rows.select("id", F.explode(words).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("n"))
+    grams = counted.select("id", F.explode(char_grams(F.col("word"), ngrams)).alias("term"), "n")
+    return tfidf_weights(grams.groupBy("id", "term").agg(F.sum("n").alias("tf")), rows, min_df, cap)
 
 
 # ------------------------------------------------------------------ embeddings

@@ -34,8 +34,8 @@ def _digest(weights: DataFrame) -> DataFrame:
 @query(
     "tfidf_word",
     bind("notes")
-    + r""", toks AS (SELECT id, regexp_extract_all(lower(subject || chr(10) || body), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM notes),
-terms AS (SELECT id, unnest(w) AS term FROM toks UNION ALL SELECT id, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM toks)"""
+    + r""", toks AS (SELECT id, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM (SELECT id, regexp_extract_all(lower(subject || chr(10) || body), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM notes)),
+terms AS (SELECT id, a AS term FROM toks UNION ALL SELECT id, a || ' ' || b FROM (SELECT id, a, lead(a) OVER (PARTITION BY id ORDER BY k) AS b FROM toks) WHERE b IS NOT NULL)"""
     + _WEIGHTS.format(min_df=2),
     num="top_weight total_weight",
 )
@@ -43,7 +43,18 @@ def _tfidf_word(i: Inputs) -> DataFrame:
     return _digest(op.tfidf_word(_texts(i).select("id", "text")))
 
 
-@query("tfidf_char")
+@query(
+    "tfidf_char",
+    bind("notes")
+    + r""", ws AS (SELECT id, ' ' || word || ' ' AS word, n FROM (SELECT id, word, count(*) AS n FROM
+  (SELECT id, unnest(regexp_extract_all(lower(subject || chr(10) || body), '[^\s]+')) AS word FROM notes) GROUP BY 1, 2)),
+g AS (SELECT id, n, substr(word, k, s) AS term FROM (SELECT id, n, word, s, unnest(range(1, greatest(length(word) - s + 2, 2))) AS k
+  FROM ws, (SELECT unnest([3, 4, 5]) AS s) WHERE s = 3 OR length(word) >= s)),
+p AS (SELECT id, term, sum(n) AS tf FROM g GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM p GROUP BY 1 HAVING count(*) >= 3 ORDER BY sum(tf) DESC, term LIMIT 150000),
+r AS (SELECT id, term, (1 + ln(tf)) * (ln(((SELECT count(*) FROM notes) + 1) / (df + 1)) + 1) AS w FROM p JOIN d USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS norm FROM r GROUP BY 1)
+SELECT id, count(*) AS terms, max(w / norm) AS top_weight, sum(w / norm) AS total_weight FROM r JOIN n USING (id) GROUP BY 1""",
+    num="top_weight total_weight",
+)
 def _tfidf_char(i: Inputs) -> DataFrame:
     return _digest(op.tfidf_char(_texts(i).select("id", "text")))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deskstream.schemas import CATEGORIES, PRIORITIES, TICKET_STATUSES
 from deskstream.session import pin_session
-from deskstream.sources.files import read_table
+from deskstream.sources.files import read_table, spread
 
 
 def _pick(index: str, values: list[str]) -> str:
@@ -189,7 +189,7 @@ class Inputs:
     def notes(self) -> DataFrame:
         """Documents as tickets with text; the resolution comes from the benchmark passages."""
         m = self.benchmark_count
-        docs = self.table("documents").withColumn("item_id", F.col("doc_id") % m)
+        docs = spread(self.table("documents"), "doc_id").withColumn("item_id", F.col("doc_id") % m)
         answers = self.table("benchmark").select("item_id", F.col("text").alias("resolution"))
         joined = docs.join(answers, "item_id").join(self.table("labels"), "doc_id", "left")
         return joined.selectExpr(
