@@ -403,11 +403,15 @@ def stream_triage_latency(tickets: DataFrame, label: str = "latency") -> DataFra
 def replay_stream(tickets: DataFrame, rows_per_batch: int, label: str = "replay") -> DataFrame:
     """Tickets as a file stream in time order, about ``rows_per_batch`` rows per micro-batch.
 
-    The rows are range-partitioned by time into files that are read one after the other.
+    One range shuffle cuts the rows into time slots; the slots are then published one
+    after the other, because a file stream reads in the order in which files appear.
     """
     spark = tickets.sparkSession
-    path = scratch_path(spark, label)
-    parts = max(1, -(-tickets.count() // rows_per_batch))
-    ordered = tickets.repartitionByRange(parts, "created_at").sortWithinPartitions("created_at", "id")
-    ordered.write.parquet(path)
+    staged, path = scratch_path(spark, f"{label}-staged"), scratch_path(spark, label)
+    slots = max(1, -(-tickets.count() // rows_per_batch))
+    ranged = tickets.repartitionByRange(slots, "created_at").withColumn("_slot", F.spark_partition_id())
+    ranged.write.partitionBy("_slot").parquet(staged)
+    for slot in range(slots):
+        part = spark.read.schema(tickets.schema).parquet(f"{staged}/_slot={slot}")
+        part.coalesce(1).sortWithinPartitions("created_at", "id").write.mode("append").parquet(path)
     return spark.readStream.schema(tickets.schema).option("maxFilesPerTrigger", 1).parquet(path)
