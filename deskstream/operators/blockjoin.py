@@ -109,7 +109,12 @@ def window_cells(vectors: DataFrame, window_hours: float) -> tuple[DataFrame, Da
     closed = (
         F.coalesce(F.unix_micros("resolved_at"), F.lit(2**62)) if "resolved_at" in vectors.columns else F.lit(2**62)
     )
-    extra = [c for c in ("incident_id", "root_cause_id") if c in vectors.columns]
+    # labels travel as hashes, NULL as -1, so that the tasks compare integers
+    extra = [
+        F.coalesce(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(-1)).alias(c)
+        for c in ("incident_id", "root_cause_id")
+        if c in vectors.columns
+    ]
     base = vectors.select(
         F.col("ticket_id").alias("id"),
         "product",
@@ -219,12 +224,11 @@ def pair_histogram(
 
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         _, _, scores, allowed = _window_scores(left, right, width)
-        linc, rinc = (np.array(t.column("incident_id").to_pylist(), dtype=object) for t in (left, right))
-        lrc, rrc = (np.array(t.column("root_cause_id").to_pylist(), dtype=object) for t in (left, right))
-        known = np.array([x is not None for x in linc])
+        linc, rinc = longs(left, "incident_id"), longs(right, "incident_id")
+        lrc, rrc = longs(left, "root_cause_id"), longs(right, "root_cause_id")
         rows, cols = np.nonzero(allowed & (scores >= cuts[0]))
         kept = scores[rows, cols]
-        same_inc = known[rows] & (linc[rows] == rinc[cols])
+        same_inc = (linc[rows] != -1) & (linc[rows] == rinc[cols])
         same_rc = lrc[rows] == rrc[cols]
         out = {"threshold": [], "pairs": [], "same_incident": [], "same_cause": []}
         for cut in cuts:

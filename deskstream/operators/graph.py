@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from heapq import merge
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +42,77 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(self_links).where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, left: str = "ticket_id", right: str = "similar_id", max_rounds: int = 50) -> DataFrame:
+def _local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node it is connected to) over one batch of edges."""
+    nodes, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    parent = np.arange(len(nodes))
+    while True:
+        ra, rb = parent[a], parent[b]
+        open_ = ra != rb
+        if not open_.any():
+            return nodes, nodes[parent]
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            jumped = parent[parent]
+            if (jumped == parent).all():
+                break
+            parent = jumped
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """Replace the edges of every Arrow batch by a star forest with the same components.
+
+    A partial aggregate before the first shuffle: at most one edge per node and batch stays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, roots = _local_roots(batch.column("u").to_numpy(), batch.column("v").to_numpy())
+            moved = nodes != roots
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(roots[moved])], names=["u", "v"])
+
+    return edges.mapInArrow(run, "u BIGINT, v BIGINT")
+
+
+FINISH_EDGES = 1_000_000  # 16 MB of ids
+
+
+def _finish(edges: DataFrame) -> DataFrame:
+    """Settle a small edge set, whose size the caller has checked, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
+        if parts:
+            nodes, roots = _local_roots(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["id", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "id BIGINT, component BIGINT")
+
+
+def connected_components(
+    edges: DataFrame,
+    left: str = "ticket_id",
+    right: str = "similar_id",
+    max_rounds: int = 50,
+    finish_edges: int = FINISH_EDGES,
+) -> DataFrame:
     """(id, component) for every node that has an edge; the component is its smallest id.
 
-    Alternating large-star / small-star (Kiveris et al., 2014). Minima are partial
+    Edges are contracted inside their tasks, then large-star / small-star alternate
+    (Kiveris et al., 2014). Minima are partial
     aggregates and joins, so a node with a huge neighbourhood is never collected. Each
-    round ends in a reliable checkpoint.
+    round ends in a reliable checkpoint. Once the counted edges are at most
+    ``finish_edges`` the rest is settled in one bounded task.
     """
-    current = cut_lineage(
-        edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
-        .where(F.col("u") != F.col("v"))
-        .distinct()
-    )
+    pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where(F.col("u") != F.col("v"))
+    current = cut_lineage(_contract(pairs).distinct())
     before = _signature(current)
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
+        if before[0] <= finish_edges:
+            return _finish(current)
+        current = cut_lineage(_contract(_small_star(_large_star(current))))
         after = _signature(current)
         if after == before:
             break
@@ -137,11 +196,41 @@ def incident_merge_flags(clusters: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ exact replay
+class _Live:
+    """Recent members of one online cluster, oldest first, with running counts."""
+
+    __slots__ = ("members", "who", "alarms")
+
+    def __init__(self, at: int, ticket: int, who: str):
+        self.members: deque[tuple[int, int, str, list[int]]] = deque([(at, ticket, who, [])])
+        self.who: Counter[str] = Counter([who])
+        self.alarms: Counter[int] = Counter()
+
+    def expire(self, before: int) -> None:
+        while self.members and self.members[0][0] < before:
+            _, _, who, alarms = self.members.popleft()
+            self.who[who] -= 1
+            if not self.who[who]:
+                del self.who[who]
+            for alarm in alarms:
+                self.alarms[alarm] -= 1
+
+    def absorb(self, other: _Live) -> None:
+        overlap = []
+        while self.members and other.members and self.members[-1] > other.members[0]:
+            overlap.append(self.members.pop())
+        self.members.extend(merge(reversed(overlap), other.members))
+        self.who.update(other.who)
+        self.alarms.update(other.alarms)
+
+
 class _Replay:
     """State of one final component while its tickets arrive in order.
 
     Only tickets of the link window stay in memory: older ones cannot be linked again
-    and cannot be live, so the label they carried is all that is left of them.
+    and cannot be live, so the label they carried is all that is left of them. Counts of
+    live members, customers and members covered by an earlier alarm are kept up to date,
+    so an arrival costs about as much as it has links.
     """
 
     def __init__(self, window: int, burst: int, min_tickets: int, min_customers: int, cover: float):
@@ -150,8 +239,9 @@ class _Replay:
         self.label: dict[int, int] = {}
         self.parent: dict[int, int] = {}
         self.recent: deque[tuple[int, int]] = deque()
-        self.live: dict[int, list[tuple[int, int, str]]] = {}
-        self.alarms: deque[tuple[int, frozenset[int]]] = deque()
+        self.live: dict[int, _Live] = {}
+        self.alarms: deque[tuple[int, int]] = deque()
+        self.raised = 0
 
     def _root(self, x: int) -> int:
         while self.parent[x] != x:
@@ -163,42 +253,42 @@ class _Replay:
         """Members of the alarm this arrival raises, or None."""
         while self.recent and self.recent[0][1] < at - self.window:
             self.label.pop(self.recent.popleft()[0], None)
-        self.parent[ticket] = ticket
-        self.label[ticket] = ticket
-        self.live[ticket] = [(at, ticket, who)]
+        self.parent[ticket] = self.label[ticket] = ticket
+        self.live[ticket] = _Live(at, ticket, who)
         self.recent.append((ticket, at))
         for other in links:
             if other not in self.label:
                 continue
-            a, b = self._root(self.label[ticket]), self._root(self.label[other])
+            a, b = self._root(ticket), self._root(self.label[other])
             if a != b:
-                if len(self.live[a]) < len(self.live[b]):
+                if len(self.live[a].members) < len(self.live[b].members):
                     a, b = b, a
                 self.parent[b] = a
-                self.live[a].extend(self.live.pop(b))
-        root = self._root(ticket)
-        members = [m for m in self.live[root] if m[0] >= at - self.burst]
-        self.live[root] = members
+                gone = self.live.pop(b)
+                gone.expire(at - self.burst)
+                self.live[a].absorb(gone)
+        now = self.live[self._root(ticket)]
+        now.expire(at - self.burst)
         if len(self.parent) > 4 * len(self.recent) + 64:
             self._compact()
-        if len(members) < self.min_tickets or len({m[2] for m in members}) < self.min_customers:
+        if len(now.members) < self.min_tickets or len(now.who) < self.min_customers:
             return None
         while self.alarms and self.alarms[0][0] < at - self.burst:
             self.alarms.popleft()
-        now = frozenset(m[1] for m in members)
-        if any(len(now & seen) >= self.cover * len(now) for _, seen in self.alarms):
+        if any(now.alarms[alarm] >= self.cover * len(now.members) for _, alarm in self.alarms):
             return None
-        self.alarms.append((at, now))
-        return sorted(now)
+        self.raised += 1
+        self.alarms.append((at, self.raised))
+        now.alarms[self.raised] = len(now.members)
+        for member in now.members:
+            member[3].append(self.raised)
+        return sorted(member[1] for member in now.members)
 
     def _compact(self) -> None:
-        roots = {t: self._root(self.label[t]) for t, _ in self.recent}
-        self.label = roots
-        keep = set(roots.values())
-        self.parent = {r: r for r in keep}
+        self.label = {t: self._root(self.label[t]) for t, _ in self.recent}
+        keep = set(self.label.values())
+        self.parent = {**self.label, **{r: r for r in keep}}
         self.live = {r: members for r, members in self.live.items() if r in keep}
-        for ticket in roots:
-            self.parent.setdefault(ticket, roots[ticket])
 
 
 def incident_replay(

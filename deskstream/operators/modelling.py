@@ -93,7 +93,7 @@ def tfidf_weights(postings: DataFrame, rows: DataFrame, min_df: int, cap: int |
 
 def tfidf_word(rows: DataFrame, ngrams: tuple[int, int] = (1, 2), min_df: int = 2) -> DataFrame:
     """Word 1-2 grams of (id, text); words have two or more characters."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     listed = rows.select("id", words.alias("words"))
     terms = listed.select("id", F.explode(_grams(F.col("words"), ngrams)).alias("term"))
     return tfidf_weights(terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")), rows, min_df)

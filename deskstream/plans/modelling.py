@@ -34,7 +34,7 @@ def _digest(weights: DataFrame) -> DataFrame:
 @query(
     "tfidf_word",
     bind("notes")
-    + r""", toks AS (SELECT id, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM (SELECT id, regexp_extract_all(lower(subject || chr(10) || body), '[\p{L}\p{N}\p{M}_]{2,}') AS w FROM notes)),
+    + r""", toks AS (SELECT id, unnest(w) AS a, generate_subscripts(w, 1) AS k FROM (SELECT id, regexp_extract_all(lower(subject || chr(10) || body), '[\p{L}\p{N}_]{2,}') AS w FROM notes)),
 terms AS (SELECT id, a AS term FROM toks UNION ALL SELECT id, a || ' ' || b FROM (SELECT id, a, lead(a) OVER (PARTITION BY id ORDER BY k) AS b FROM toks) WHERE b IS NOT NULL)"""
     + _WEIGHTS.format(min_df=2),
     num="top_weight total_weight",

@@ -80,12 +80,13 @@ def brute_components(links):
     return {i: find(parent, i) for i in linked}
 
 
-def test_components_and_long_chain(spark):
+@pytest.mark.parametrize("finish", [0, 10**6])
+def test_components_and_long_chain(spark, finish):
     rows = tickets(seed=5)
     links = brute_links(rows, 0.7, 3.0)
     edges = [(a, b) for a, x in links.items() for b in x] + [(k, k + 1) for k in range(1000, 1200)]
     frame = spark.createDataFrame(edges, "ticket_id BIGINT, similar_id BIGINT")
-    got = {r["id"]: r["component"] for r in graph.connected_components(frame).collect()}
+    got = {r["id"]: r["component"] for r in graph.connected_components(frame, finish_edges=finish).collect()}
     want = brute_components(links)
     want.update({k: 1000 for k in range(1000, 1201)})
     assert got == want
