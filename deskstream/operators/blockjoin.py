@@ -2,7 +2,7 @@
 
 A *cell* is a set of rows that must be compared with each other (a product in a time
 slice, a split, a whole corpus). Cell sizes are counted first, every side of a cell is
-cut into chunks of at most ``block`` rows by a hash of the id, and one task sees one
+cut into chunks of a bounded number of rows by a hash of the id, and one task sees one
 left chunk and one right chunk. A hot cell therefore becomes many tasks of the same
 bounded size, and each task emits only what its kernel keeps (matches above a threshold,
 the best k, or counts), never the pairs it looked at.
@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from deskstream.schemas import DEFAULTS
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 4096  # chunk size of a small cell; large cells use up to GROWTH times as much
+GROWTH = 4
+STEP_ROWS = 512  # left rows scored at a time, so a score matrix stays below 100 MB
 SIMILARITY_DIGITS = 9  # ranks must not depend on the summation order of a dot product
 
 
 def _chunked(side: DataFrame, sizes: DataFrame, block: int, own: str, other: str, role: int) -> DataFrame:
     """Attach the own chunk by hash and fan out over the chunks of the other side."""
-    chunks = lambda n: F.ceil(F.col(n) / F.lit(block)).cast("int")
+    # sixteen chunks before a chunk grows: parallel when small, less copying when large
+    rows = lambda n: F.least(F.lit(GROWTH * block), F.greatest(F.lit(block), F.ceil(F.col(n) / 16)))
+    chunks = lambda n: F.ceil(F.col(n) / rows(n)).cast("int")
     own_chunk = F.pmod(F.xxhash64("id"), chunks(own)).cast("int")
     fan = F.explode(F.sequence(F.lit(0), chunks(other) - 1))
     sized = side.join(sizes, "cell")
@@ -34,10 +38,31 @@ def _chunked(side: DataFrame, sizes: DataFrame, block: int, own: str, other: str
     return sized.select("*", own_chunk.alias("_rc")).select("*", fan.alias("_lc")).drop("_nl", "_nr")
 
 
+class Side:
+    """One chunk as numpy columns, converted once."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+        self._columns: dict[str, np.ndarray] = {}
+
+    def longs(self, name: str) -> np.ndarray:
+        if name not in self._columns:
+            self._columns[name] = self.table.column(name).to_numpy()
+        return self._columns[name]
+
+    def matrix(self, name: str = "embedding") -> np.ndarray:
+        """A list column as a dense float64 matrix."""
+        if name not in self._columns:
+            column = self.table.column(name).combine_chunks()
+            flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            self._columns[name] = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+        return self._columns[name]
+
+
 def block_join(
     left: DataFrame,
     right: DataFrame,
-    kernel: Callable[[pa.Table, pa.Table], pa.Table],
+    kernel: Callable[[Side, Side], pa.Table],
     schema: str,
     block: int = BLOCK_ROWS,
     one_cell: bool = False,
@@ -61,24 +86,14 @@ def block_join(
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("_side").to_numpy()
-        mine = np.flatnonzero(side == 0)
-        theirs = np.flatnonzero(side == 1)
-        return kernel(table.take(mine), table.take(theirs))
+        mine = table.take(np.flatnonzero(side == 0))
+        theirs = Side(table.take(np.flatnonzero(side == 1)))
+        steps = range(0, max(len(mine), 1), STEP_ROWS)
+        return pa.concat_tables([kernel(Side(mine.slice(start, STEP_ROWS)), theirs) for start in steps])
 
     return both.groupBy("cell", "_lc", "_rc").applyInArrow(run, schema)
 
 
-def matrix(table: pa.Table, name: str = "embedding") -> np.ndarray:
-    """A list column as a dense float64 matrix."""
-    column = table.column(name).combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
-
-
-def longs(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_numpy()
-
-
 def best_k(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column positions of the ``k`` best allowed scores per row; ties by smaller id."""
     masked = np.where(allowed, scores, -np.inf)
@@ -134,12 +149,12 @@ def window_cells(vectors: DataFrame, window_hours: float) -> tuple[DataFrame, Da
     return queries, candidates
 
 
-def _window_scores(left: pa.Table, right: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _window_scores(left: Side, right: Side, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rounded cosines and the mask of pairs inside the window, candidate first."""
-    lt, rt = longs(left, "at"), longs(right, "at")
-    li, ri = longs(left, "id"), longs(right, "id")
-    closed = longs(right, "closed")
-    scores = np.round(matrix(left) @ matrix(right).T, SIMILARITY_DIGITS)
+    lt, rt = left.longs("at"), right.longs("at")
+    li, ri = left.longs("id"), right.longs("id")
+    closed = right.longs("closed")
+    scores = np.round(left.matrix() @ right.matrix().T, SIMILARITY_DIGITS)
     earlier = (rt[None, :] < lt[:, None]) | ((rt[None, :] == lt[:, None]) & (ri[None, :] < li[:, None]))
     inside = rt[None, :] >= lt[:, None] - width
     still_open = closed[None, :] > lt[:, None]
@@ -162,7 +177,7 @@ def duplicate_pairs(
     width = int(window_hours * 3_600_000_000)
     queries, candidates = window_cells(vectors, window_hours)
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+    def kernel(left: Side, right: Side) -> pa.Table:
         li, ri, scores, allowed = _window_scores(left, right, width)
         allowed &= scores >= tau
         rows, cols = np.nonzero(allowed) if k is None else best_k(scores, ri, allowed, k)
@@ -195,7 +210,7 @@ def similar_recent(
     width = int(window_hours * 3_600_000_000)
     queries, candidates = window_cells(vectors, window_hours)
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+    def kernel(left: Side, right: Side) -> pa.Table:
         li, _, scores, allowed = _window_scores(left, right, width)
         n = (allowed & (scores >= tau)).sum(axis=1)
         hit = n > 0
@@ -222,10 +237,10 @@ def pair_histogram(
     queries, candidates = window_cells(vectors, window_hours)
     cuts = sorted(thresholds)
 
-    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
+    def kernel(left: Side, right: Side) -> pa.Table:
         _, _, scores, allowed = _window_scores(left, right, width)
-        linc, rinc = longs(left, "incident_id"), longs(right, "incident_id")
-        lrc, rrc = longs(left, "root_cause_id"), longs(right, "root_cause_id")
+        linc, rinc = left.longs("incident_id"), right.longs("incident_id")
+        lrc, rrc = left.longs("root_cause_id"), right.longs("root_cause_id")
         rows, cols = np.nonzero(allowed & (scores >= cuts[0]))
         kept = scores[rows, cols]
         same_inc = (linc[rows] != -1) & (linc[rows] == rinc[cols])
@@ -262,9 +277,9 @@ def vector_topk(
     left = queries.select(F.lit("all").alias("cell"), "id", "embedding")
     right = corpus.select(F.lit("all").alias("cell"), "id", "embedding")
 
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        li, ri = longs(lt, "id"), longs(rt, "id")
-        scores = np.round(matrix(lt) @ matrix(rt).T, SIMILARITY_DIGITS)
+    def kernel(lt: Side, rt: Side) -> pa.Table:
+        li, ri = lt.longs("id"), rt.longs("id")
+        scores = np.round(lt.matrix() @ rt.matrix().T, SIMILARITY_DIGITS)
         rows, cols = best_k(scores, ri, li[:, None] != ri[None, :], k)
         return pa.table({"qid": li[rows], "id": ri[cols], "cosine": scores[rows, cols]})
 
@@ -281,9 +296,9 @@ def similar_above(
     """(cell, first_id, second_id): pairs of a cell with cosine above ``threshold``, first_id < second_id."""
     side = vectors.select(cell.cast("string").alias("cell"), "id", "embedding")
 
-    def kernel(lt: pa.Table, rt: pa.Table) -> pa.Table:
-        li, ri = longs(lt, "id"), longs(rt, "id")
-        scores = np.round(matrix(lt) @ matrix(rt).T, SIMILARITY_DIGITS)
+    def kernel(lt: Side, rt: Side) -> pa.Table:
+        li, ri = lt.longs("id"), rt.longs("id")
+        scores = np.round(lt.matrix() @ rt.matrix().T, SIMILARITY_DIGITS)
         rows, cols = np.nonzero((scores > threshold) & (li[:, None] < ri[None, :]))
         return pa.table({"first_id": li[rows], "second_id": ri[cols]})
 

@@ -366,6 +366,39 @@ def incident_eval(alarms: DataFrame, truth: DataFrame, min_overlap: int = 5, spa
     return joined.withColumn("false_alarms_per_week", F.col("false_alarms") / F.col("days") * 7).drop("days")
 
 
+def incident_sweep(
+    vectors: DataFrame,
+    tickets: DataFrame,
+    truth: DataFrame,
+    taus: tuple[float, ...] = (0.55, 0.6, 0.65, 0.7, 0.75, 0.8),
+    windows_h: tuple[float, ...] = (3.0, 72.0),
+    burst_minutes: float = 60.0,
+    min_tickets: int = 5,
+    min_customers: int = 3,
+    min_overlap: int = 5,
+) -> DataFrame:
+    """:func:`incident_eval` per (tau, window) with the chosen setting marked.
+
+    The best 20 links per ticket are found once per window at the lowest threshold; a
+    higher threshold only cuts that ranked list further down.
+    """
+    from deskstream.operators import blockjoin, graph
+    from deskstream.operators.windows import topk_per_key
+    from deskstream.session import cut_lineage
+
+    rows = None
+    for hours in windows_h:
+        pairs = cut_lineage(blockjoin.duplicate_pairs(vectors, min(taus), hours, 20))
+        for tau in taus:
+            best = [F.col("similarity").desc(), F.col("similar_id")]
+            links = topk_per_key(pairs.where(F.col("similarity") >= tau), ["ticket_id"], best, 20).drop("rank")
+            components = cut_lineage(graph.connected_components(links))
+            alarms = graph.incident_replay(tickets, links, components, hours, burst_minutes, min_tickets, min_customers)
+            one = incident_eval(alarms, truth, min_overlap).withColumns({"tau": F.lit(tau), "window_h": F.lit(hours)})
+            rows = one if rows is None else rows.unionByName(one)
+    return choose_incident_setting(cut_lineage(rows))
+
+
 def choose_incident_setting(sweep: DataFrame, max_false_per_week: float = 1.0) -> DataFrame:
     """The sweep with ``chosen``: best recall, then shortest delay, among settings quiet enough (or all)."""
     quiet = sweep.agg(F.bool_or(F.col("false_alarms_per_week") <= max_false_per_week).alias("_any"))

@@ -220,3 +220,25 @@ def _cluster_eval(i: Inputs) -> DataFrame:
     clusters = i.clusters.select(F.col("id").alias("cluster_id"), "is_incident")
     truth = i.labelled.select(F.col("ticket_id").alias("id"), "incident_id")
     return evaluate.cluster_eval(members, clusters, truth)
+
+
+@query(
+    "false_flags",
+    bind("tickets", "labelled")
+    + """, f AS (SELECT t.cluster_id, avg(CAST(l.incident_id IS NULL AS INT)) AS outside FROM tickets t JOIN labelled l ON l.ticket_id = t.id
+  WHERE t.cluster_id % 4 = 0 GROUP BY 1) SELECT count(*) FILTER (WHERE outside > 0.5) AS false_flags, count(*) AS flagged_clusters FROM f""",
+)
+def _false_flags(i: Inputs) -> DataFrame:
+    members = i.tickets.where(F.col("cluster_id").isNotNull()).select("id", "cluster_id")
+    clusters = i.clusters.select(F.col("id").alias("cluster_id"), "is_incident")
+    truth = i.labelled.select(F.col("ticket_id").alias("id"), "incident_id")
+    return evaluate.false_flags(members, clusters, truth)
+
+
+@query("incident_sweep")
+def _incident_sweep(i: Inputs) -> DataFrame:
+    truth = i.labelled.select(F.col("ticket_id").alias("id"), "created_at", "incident_id")
+    tickets = i.tickets.select("id", "created_at", "customer_id")
+    return evaluate.incident_sweep(
+        i.vectors, tickets, truth, (0.35, 0.40), (24.0,), BURST_MINUTES, MIN_TICKETS, MIN_CUSTOMERS, min_overlap=2
+    )
