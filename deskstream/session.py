@@ -23,6 +23,7 @@ def build_session(app: str = "deskstream", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({key.replace("__", "."): value for key, value in conf.items()})
     for key, value in settings.items():
@@ -64,11 +65,15 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    created = tempfile.mkdtemp(prefix="deskstream-")
-    spark.conf.set("spark.checkpoint.dir", created)
-    return created
+    if context.applicationId not in _private:
+        _private[context.applicationId] = tempfile.mkdtemp(prefix="deskstream-")
+    return _private[context.applicationId]
+
+
+_private: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
