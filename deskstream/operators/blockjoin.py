@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskstream.schemas import DEFAULTS
+from deskstream.session import cut_lineage
 
 BLOCK_ROWS = 4096  # chunk size of a small cell; large cells use up to GROWTH times as much
 GROWTH = 4
+BROADCAST_CELLS = 200_000  # about 20 MB
 STEP_ROWS = 512  # left rows scored at a time, so a score matrix stays below 100 MB
 SIMILARITY_DIGITS = 9  # ranks must not depend on the summation order of a dot product
 
@@ -65,20 +67,20 @@ def block_join(
     kernel: Callable[[Side, Side], pa.Table],
     schema: str,
     block: int = BLOCK_ROWS,
-    one_cell: bool = False,
 ) -> DataFrame:
     """Run ``kernel(left_rows, right_rows)`` for every pair of chunks of every cell.
 
-    Both sides have ``cell`` (string), ``id`` (long) and the same further columns. The
-    sizes table has one row per cell; it is broadcast outright when there is one cell,
-    otherwise the adaptive planner measures it and decides.
+    Both sides have ``cell`` (string), ``id`` (long) and the same further columns. The cell
+    sizes are counted and kept first. With at most ``BROADCAST_CELLS`` cells they are
+    broadcast, so the rows are shuffled once, straight to their chunks; beyond that the
+    rows meet the sizes in a shuffle join, which the adaptive planner splits where it is skewed.
     """
-    sizes = (
+    sizes = cut_lineage(
         left.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("_nl"))
         .join(right.groupBy("cell").agg(F.count(F.lit(1)).alias("_nr")), "cell")
     )
-    if one_cell:
+    if sizes.count() <= BROADCAST_CELLS:
         sizes = F.broadcast(sizes)
     lefts = _chunked(left, sizes, block, "_nl", "_nr", 0).withColumn("_side", F.lit(0))
     rights = _chunked(right, sizes, block, "_nr", "_nl", 1).withColumn("_side", F.lit(1))
@@ -283,7 +285,7 @@ def vector_topk(
         rows, cols = best_k(scores, ri, li[:, None] != ri[None, :], k)
         return pa.table({"qid": li[rows], "id": ri[cols], "cosine": scores[rows, cols]})
 
-    hits = block_join(left, right, kernel, "qid BIGINT, id BIGINT, cosine DOUBLE", block, one_cell=True)
+    hits = block_join(left, right, kernel, "qid BIGINT, id BIGINT, cosine DOUBLE", block)
     from deskstream.operators.windows import topk_per_key
 
     ranked = topk_per_key(hits, ["qid"], [F.col("cosine").desc(), F.col("id")], k)
