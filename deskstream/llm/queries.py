@@ -44,3 +44,17 @@ def fingerprints(spark: SparkSession, directory: str) -> DataFrame:
     from deskstream.llm.fingerprint import fingerprints
 
     return fingerprints(c.table(spark, directory, "documents"))
+
+
+@query("op2_minhash_near_dedup")
+def minhash(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.minhash import near_duplicates
+
+    return near_duplicates(c.table(spark, directory, "documents"))
+
+
+@query("op5_compact_windows")
+def passages(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.passages import passages
+
+    return passages(c.table(spark, directory, "documents"))
