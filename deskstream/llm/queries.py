@@ -58,3 +58,10 @@ def passages(spark: SparkSession, directory: str) -> DataFrame:
     from deskstream.llm.passages import passages
 
     return passages(c.table(spark, directory, "documents"))
+
+
+@query("op3_perplexity_bands")
+def perplexity(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.perplexity import quality
+
+    return quality(c.table(spark, directory, "documents"))
