@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deskstream.llm import chat, mixing
 from deskstream.llm import common as c
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +66,33 @@ def perplexity(spark: SparkSession, directory: str) -> DataFrame:
     from deskstream.llm.perplexity import quality
 
     return quality(c.table(spark, directory, "documents"))
+
+
+@query("op7_toxicity")
+def toxicity(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.toxicity import toxicity
+
+    return toxicity(c.table(spark, directory, "documents"), c.table(spark, directory, "labels"))
+
+
+@query("op6_quality_classifier")
+def classifier(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.classifier import classify
+
+    return classify(c.table(spark, directory, "documents"), c.table(spark, directory, "labels"))
+
+
+def _chat(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.chat import chat_format
+
+    return chat_format(c.table(spark, directory, "conversations"))
+
+
+def _mix(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.mixing import mixture
+
+    return mixture(c.table(spark, directory, "documents"))
+
+
+query("op1_chat_format", chat.ORACLE)(_chat)
+query("op9_mixture", mixing.oracle())(_mix)
