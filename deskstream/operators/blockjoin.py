@@ -18,11 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskstream.schemas import DEFAULTS
-from deskstream.session import cut_lineage
+from deskstream.session import written
 
 BLOCK_ROWS = 4096  # chunk size of a small cell; large cells use up to GROWTH times as much
 GROWTH = 4
-BROADCAST_CELLS = 200_000  # about 20 MB
 STEP_ROWS = 512  # left rows scored at a time, so a score matrix stays below 100 MB
 SIMILARITY_DIGITS = 9  # ranks must not depend on the summation order of a dot product
 
@@ -71,17 +70,15 @@ def block_join(
     """Run ``kernel(left_rows, right_rows)`` for every pair of chunks of every cell.
 
     Both sides have ``cell`` (string), ``id`` (long) and the same further columns. The cell
-    sizes are counted and kept first. With at most ``BROADCAST_CELLS`` cells they are
-    broadcast, so the rows are shuffled once, straight to their chunks; beyond that the
-    rows meet the sizes in a shuffle join, which the adaptive planner splits where it is skewed.
+    sizes are counted and written first, so the planner knows their bytes: below its own
+    threshold it broadcasts them and the rows are shuffled once, straight to their chunks; beyond
+    that the rows meet the sizes in a shuffle join, which it splits where it is skewed.
     """
-    sizes = cut_lineage(
+    sizes = written(
         left.groupBy("cell")
         .agg(F.count(F.lit(1)).alias("_nl"))
         .join(right.groupBy("cell").agg(F.count(F.lit(1)).alias("_nr")), "cell")
     )
-    if sizes.count() <= BROADCAST_CELLS:
-        sizes = F.broadcast(sizes)
     lefts = _chunked(left, sizes, block, "_nl", "_nr", 0).withColumn("_side", F.lit(0))
     rights = _chunked(right, sizes, block, "_nr", "_nl", 1).withColumn("_side", F.lit(1))
     both = lefts.unionByName(rights)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from deskstream.operators import blockjoin, windows
 from deskstream.schemas import DEFAULTS
-from deskstream.session import cut_lineage
+from deskstream.session import cut_lineage, scratch_path
 
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
@@ -76,49 +76,27 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u BIGINT, v BIGINT")
 
 
-FINISH_EDGES = 1_000_000  # 16 MB of ids
-
-
-def _finish(edges: DataFrame) -> DataFrame:
-    """Settle a small edge set, whose size the caller has checked, in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("u").to_numpy(), b.column("v").to_numpy()) for b in batches]
-        if parts:
-            nodes, roots = _local_roots(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["id", "component"])
-
-    return edges.coalesce(1).mapInArrow(run, "id BIGINT, component BIGINT")
-
-
 def connected_components(
     edges: DataFrame,
     left: str = "ticket_id",
     right: str = "similar_id",
-    max_rounds: int = 50,
-    finish_edges: int = FINISH_EDGES,
 ) -> DataFrame:
     """(id, component) for every node that has an edge; the component is its smallest id.
 
     Edges are contracted inside their tasks, then large-star / small-star alternate
-    (Kiveris et al., 2014). Minima are partial
+    (Kiveris et al., 2014) until nothing changes. Minima are partial
     aggregates and joins, so a node with a huge neighbourhood is never collected. Each
-    round ends in a reliable checkpoint. Once the counted edges are at most
-    ``finish_edges`` the rest is settled in one bounded task.
+    round ends in a reliable checkpoint.
     """
     pairs = edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).where(F.col("u") != F.col("v"))
     current = cut_lineage(_contract(pairs).distinct())
     before = _signature(current)
-    for _ in range(max_rounds):
-        if before[0] <= finish_edges:
-            return _finish(current)
+    while True:
         current = cut_lineage(_contract(_small_star(_large_star(current))))
         after = _signature(current)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     roots = current.select(F.col("v").alias("id")).distinct()
     return (
         current.select(F.col("u").alias("id"), F.col("v").alias("component"))
@@ -355,14 +333,15 @@ def alarm_overlap(alarms: DataFrame, truth: DataFrame, min_overlap: int = DEFAUL
 
 
 # --------------------------------------------------------------- near-duplicates
-def near_dup_removal(tickets: DataFrame, threshold: float = DEFAULTS.near_duplicate, max_rounds: int = 200) -> DataFrame:
+def near_dup_removal(tickets: DataFrame, threshold: float = DEFAULTS.near_duplicate) -> DataFrame:
     """Per split, drop a row that is too close to an earlier row that was kept.
 
     ``tickets`` has id (row order), split, incident_id, embedding; incident rows always
     stay. Rows with the same vector share their neighbourhood, so only the first of them
     can be kept and the comparison runs on distinct vectors. The greedy order is then
-    resolved in rounds: a row whose earlier neighbours are all dropped is kept, a row with
-    a kept earlier neighbour is dropped.
+    resolved in rounds until no edge is left: a row whose earlier neighbours are all dropped
+    is kept, a row with a kept earlier neighbour is dropped. Dropped ids are appended to one
+    table in the shared folder.
     """
     background = tickets.where(F.col("incident_id").isNull())
     marked = background.select("id", "split", "embedding", F.md5(F.to_json("embedding")).alias("_v"))
@@ -370,10 +349,11 @@ def near_dup_removal(tickets: DataFrame, threshold: float = DEFAULTS.near_duplic
     distinct = marked.join(firsts.select("id"), "id", "left_semi")
     edges = cut_lineage(blockjoin.similar_above(distinct, F.col("split"), threshold))
 
-    undecided = edges.select(F.col("second_id").alias("id")).distinct()
-    dropped = cut_lineage(undecided.limit(0))
+    spark = tickets.sparkSession
+    decided = scratch_path(spark, "dropped")
+    edges.select(F.col("second_id").alias("id")).limit(0).write.parquet(decided)
     pending = edges
-    for _ in range(max_rounds):
+    while not pending.isEmpty():
         waiting = pending.select(F.col("second_id").alias("id")).distinct()
         # an earlier endpoint that waits for nobody is kept, and drops everything after it
         kept = pending.select(F.col("first_id").alias("id")).distinct().join(waiting, "id", "left_anti")
@@ -383,15 +363,12 @@ def near_dup_removal(tickets: DataFrame, threshold: float = DEFAULTS.near_duplic
             .distinct()
         )
         newly = cut_lineage(newly)
-        if newly.isEmpty():
-            break
-        dropped = dropped.unionByName(newly)
+        newly.write.mode("append").parquet(decided)
         pending = cut_lineage(
             pending.join(newly.withColumnRenamed("id", "first_id"), "first_id", "left_anti").join(
                 newly.withColumnRenamed("id", "second_id"), "second_id", "left_anti"
             )
         )
-    else:
-        raise RuntimeError("near-duplicates did not settle")
+    dropped = spark.read.schema("id BIGINT").parquet(decided)
     copies = marked.join(firsts.select("id"), "id", "left_anti").select("id")
     return tickets.join(dropped.unionByName(copies), "id", "left_anti")

@@ -26,7 +26,8 @@ def created_at_error(raw: Column) -> Column:
 
 
 def _blank(value: Column) -> Column:
-    return value.isNull() | (F.length(text.strip_controls(value)) == 0)
+    """Missing, or nothing but Unicode white space."""
+    return value.isNull() | F.rlike(value, F.lit(r"^\p{javaWhitespace}*$"))
 
 
 def validation_error(subject: Column, body: Column, product: Column, tier: Column, customer_id: Column) -> Column:
@@ -110,8 +111,9 @@ def ingest_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame
 
 
 def customer_upsert(rows: DataFrame) -> DataFrame:
-    """One row per customer; the tier of the last arrival wins."""
-    return rows.where(F.col("customer_ref").isNotNull()).groupBy(F.col("customer_ref").alias("external_id")).agg(
+    """One row per customer of the valid rows; the tier of the last arrival wins, blank references are no customers."""
+    valid = validate_rows(rows).where(F.col("error").isNull() & ~_blank(F.col("customer_ref")))
+    return valid.groupBy(F.col("customer_ref").alias("external_id")).agg(
         F.max_by("customer_tier", F.struct("arrival", "id")).alias("tier")
     )
 

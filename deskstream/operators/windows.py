@@ -49,10 +49,14 @@ def sweep_levels(points: DataFrame, keys: list[str], levels: dict[str, str], buc
     return swept.where(F.col("query").isNotNull()).select("query", *levels)
 
 
+ROWS_PER_SLICE = 1_000_000
+
+
 def quantile_bounds(frame: DataFrame, value: str, parts: int = 32) -> list[float]:
-    """At most ``parts`` cut points of about equal depth (a sketch, only used to spread work)."""
+    """Cut points of about equal depth (a sketch, only used to spread work): ``parts``, or more when a part would be large."""
+    parts = max(parts, -(-frame.count() // ROWS_PER_SLICE))
     cuts = [i / parts for i in range(1, parts)]
-    row = frame.agg(F.percentile_approx(value, cuts, 1000).alias("q")).first()
+    row = frame.agg(F.percentile_approx(value, cuts, 32 * parts).alias("q")).first()
     return sorted({float(x) for x in (row["q"] or [])})
 
 
@@ -71,9 +75,13 @@ def bucket_by_bounds(value: Column, bounds: list[float]) -> Column:
 def ranked_in_group(frame: DataFrame, group: list[str], hex_hash: str, tie: list[str]) -> DataFrame:
     """Add ``position`` (1-based, by hash) and ``group_size``.
 
-    The order is by a hex hash, so its first digits cut every group into even slices.
+    The order is by a hex hash, so its first digits cut every group into even slices; their
+    number grows with the rows.
     """
-    sliced = frame.withColumn("_slice", F.substring(hex_hash, 1, 2)).withColumn("_one", F.lit(1))
+    digits, rows = 2, frame.count()
+    while rows // 16**digits > ROWS_PER_SLICE:
+        digits += 1
+    sliced = frame.withColumn("_slice", F.substring(hex_hash, 1, digits)).withColumn("_one", F.lit(1))
     ranked = bucketed_running(sliced, group, "_slice", [hex_hash, *tie], {"position": "_one"})
     sizes = frame.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size"))
     return ranked.drop("_slice", "_one").join(sizes, group)

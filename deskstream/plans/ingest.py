@@ -97,8 +97,8 @@ def _idem(i: Inputs) -> DataFrame:
 
 @query(
     "customer_upsert",
-    bind("uploads")
-    + " SELECT customer_ref AS external_id, arg_max(customer_tier, id) AS tier FROM uploads WHERE customer_ref IS NOT NULL GROUP BY 1",
+    bind("checked")
+    + " SELECT customer_ref AS external_id, arg_max(customer_tier, id) AS tier FROM checked WHERE error IS NULL AND length(trim(customer_ref)) > 0 GROUP BY 1",
 )
 def _upsert(i: Inputs) -> DataFrame:
     return op.customer_upsert(i.uploads)
@@ -260,19 +260,22 @@ def _batches(i: Inputs) -> DataFrame:
     return op.assign_batches(i.labelled.withColumnRenamed("ticket_id", "id")).select("id", "batch_id")
 
 
-@query("ingest_csv")
+@query(
+    "ingest_csv",
+    bind("checked")
+    + """, j AS (SELECT coalesce(error, CASE WHEN created_raw = 'yesterday' THEN 'created_at is not a timestamp' END) AS error, product FROM checked)
+SELECT error, CASE WHEN error IS NULL THEN product END AS product, count(*) AS n FROM j GROUP BY 1, 2""",
+)
 def _csv(i: Inputs) -> DataFrame:
-    """Uploads written as CSV, parsed and judged; good and rejected rows with their reason."""
+    """Uploads written as CSV in two column orders, parsed and judged; good and rejected rows with their reason."""
     path = scratch_path(i.spark, "upload")
-    op.write_csv(
-        i.uploads.select(
-            F.col("subject").alias("Subject"), F.col("body").alias("BODY"), "product", "customer_tier",
-            F.col("external_id").alias("ticket_uid"), F.col("created_raw").alias("created_at"),
-            F.col("customer_ref").alias("customer_id"),
-        ),
-        path,
-    )
-    good, rejects = files.ingest_csv(i.spark, path, i.as_of)
+    columns = {
+        "Subject": "subject", "BODY": "body", "product": "product", "customer_tier": "customer_tier",
+        "ticket_uid": "external_id", "created_at": "created_raw", "customer_id": "customer_ref",
+    }
+    for part, names in enumerate((list(columns), list(reversed(columns)))):
+        op.write_csv(i.uploads.where(F.col("id") % 2 == part).select(*[F.col(columns[n]).alias(n) for n in names]), f"{path}/{part}")
+    good, rejects = files.ingest_csv(i.spark, f"{path}/*", i.as_of)
     kept = good.select(F.lit(None).cast("string").alias("error"), "product")
     return kept.unionByName(rejects.select("error", F.lit(None).cast("string").alias("product"))).groupBy("error", "product").agg(
         F.count(F.lit(1)).alias("n")

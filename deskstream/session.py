@@ -81,6 +81,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def written(frame: DataFrame, label: str = "table") -> DataFrame:
+    """A Parquet table below the shared folder: like a checkpoint, with a size that the planner knows."""
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives executor loss and has a flat plan."""
     spark = frame.sparkSession

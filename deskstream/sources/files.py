@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,46 +45,59 @@ def read_tickets(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def ingest_csv(spark: SparkSession, path: str, ingest_at=None) -> tuple[DataFrame, DataFrame]:
-    """(good, rejects) of CSV uploads: one file or a folder of them.
+def _headers(spark: SparkSession, path: str) -> list[tuple[list[str], list[str]]]:
+    """(header, its files): the first line of every upload; uploads with equal first lines are read together."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")
+    )
+    first = lines.where("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("line"))
+    grouped = first.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    return [(next(csv.reader([r["line"].removeprefix("\ufeff")])), r["files"]) for r in grouped]
 
-    Header names are case-insensitive and may come in any order; values are trimmed and
-    blank ones become NULL. Only the header line is looked at on the driver. A missing
-    required column fails the upload; a bad row is rejected with a reason, never an error.
-    ``record`` is the position of the row in its upload, so the line in the file is
-    record + 1; it comes from the file offset order of the split readers.
-    """
-    header = spark.read.option("header", True).option("multiLine", True).csv(path).limit(0).columns
-    names = {name.strip().lower(): name for name in header}
+
+def _csv_rows(spark: SparkSession, header: list[str], paths: list[str]) -> DataFrame:
+    """The upload fields of files with one header, with file and position."""
+    names = {name.strip().lower(): k for k, name in enumerate(header)}
     missing = [name for name in REQUIRED_COLUMNS if name not in names]
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
-    schema = ", ".join(f"`{name}` STRING" for name in header)
     raw = (
-        spark.read.schema(schema)
+        spark.read.schema(", ".join(f"c{k} STRING" for k in range(len(header))))
         .option("header", True)
+        .option("enforceSchema", True)
         .option("multiLine", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
-        .csv(path)
+        .csv(paths)
     )
-    if "external_id" not in names and "ticket_uid" in names:
-        names["external_id"] = names["ticket_uid"]
 
     def value(name: str):
         if name not in names:
             return F.lit(None).cast("string")
-        trimmed = text.strip_controls(F.col(f"`{names[name]}`"))
+        trimmed = text.strip_controls(F.col(f"c{names[name]}"))
         return F.when(F.length(trimmed) > 0, trimmed)
 
-    # multiLine keeps a file in one task, so the running id inside a partition is the record order
-    position = F.monotonically_increasing_id()
-    rows = raw.select(
+    fields = {name: value(name) for name in UPLOAD_CSV_SCHEMA_FIELDS}
+    fields["external_id"] = F.coalesce(fields["external_id"], value("ticket_uid"))
+    return raw.select(
         F.col("_metadata.file_path").alias("file"),
-        position.alias("_pos"),
-        *[value(name).alias(name) for name in UPLOAD_CSV_SCHEMA_FIELDS],
+        F.monotonically_increasing_id().alias("_pos"),
+        *[column.alias(name) for name, column in fields.items()],
     )
+
+
+def ingest_csv(spark: SparkSession, path: str, ingest_at=None) -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of CSV uploads: one file or a folder of them.
+
+    Every file has a header of its own: names are case-insensitive and may come in any order.
+    Values are trimmed and blank ones become NULL; a row without external_id takes its
+    ticket_uid. A missing required column fails the upload; a bad row is rejected with a
+    reason, never an error. ``record`` is the position of the row in its upload, so the line in
+    the file is record + 1; it comes from the file offset order of the readers.
+    """
+    # multiLine keeps a file in one task, so the running id inside a partition is the record order
+    rows = reduce(DataFrame.unionByName, [_csv_rows(spark, header, paths) for header, paths in _headers(spark, path)])
     starts = rows.groupBy("file").agg(F.min("_pos").alias("_first"))
     numbered = rows.join(starts, "file").withColumn("record", F.col("_pos") - F.col("_first") + 1)
     error = F.coalesce(

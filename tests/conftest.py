@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -18,6 +19,7 @@ def spark():
     session = build_session(
         "tests", master="local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="8g",
         spark__sql__adaptive__coalescePartitions__parallelismFirst="false",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

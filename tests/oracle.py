@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -69,7 +70,7 @@ def main() -> None:
 
     args = sys.argv[1:]
     directory = args[0] if args else "/root/testdata/sf0.01"
-    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g")
+    spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__checkpoint__dir=tempfile.mkdtemp(prefix="spark-oracle-"))
     spark.sparkContext.setLogLevel("ERROR")
     import __spark_entry__ as entry
 

@@ -48,10 +48,27 @@ def test_validation_reasons(spark):
             ("c", "x" * 301, "b", "api", "PRO", None),
             ("d", "s", " \t\n", "api", "PRO", None),
             ("e", "s", "b", "api", "PRO", None),
+            ("f", "\u2003\u2028", "b", "api", "PRO", None),
         )
     )
     got = [r["error"] for r in checked.orderBy("id").collect()]
-    assert "product" in got[0] and "customerTier" in got[1] and "300" in got[2] and "body" in got[3] and got[4] is None
+    assert "product" in got[0] and "customerTier" in got[1] and "300" in got[2] and "body" in got[3] and got[4] is None and "subject" in got[5]
+
+
+def test_csv_headers_of_their_own(spark, tmp_path):
+    from deskstream.sources import files
+
+    (tmp_path / "a.csv").write_text("Subject,body,product,customer_tier,ticket_uid\nhelp,text one,api,PRO,u1\n")
+    (tmp_path / "b.csv").write_text('body,SUBJECT,customer_tier,product,external_id,ticket_uid\n"two\nlines",other,FREE,web-app,,u2\nx,,FREE,web-app,e3,u3\n')
+    good, bad = files.ingest_csv(spark, str(tmp_path), None)
+    got = sorted((r["subject"], r["body"], r["product"], r["external_id"]) for r in good.collect())
+    assert got == [("help", "text one", "api", "u1"), ("other", "two\nlines", "web-app", "u2")]
+    assert [(r["file"].rsplit("/", 1)[1], r["record"], r["error"]) for r in bad.collect()] == [("b.csv", 2, "subject is required")]
+
+
+def test_customers_of_valid_rows(spark):
+    frame = rows(spark, ("a", "s", "b", "api", "PRO", "c1"), ("b", "s", "b", "api", "GOLD", "c1"), ("c", "s", "b", "api", "FREE", " "), ("d", "s", "b", "nope", "FREE", "c2"))
+    assert [tuple(r) for r in ingest.customer_upsert(frame).collect()] == [("c1", "PRO")]
 
 
 def test_same_key_twice_is_one_ticket(spark):
