@@ -120,12 +120,11 @@ def ngram_counts(docs: DataFrame, languages: list[str], trusted: str | None = No
 
     def run(batches):
         space = BASE**ORDER
-        total, flagged = np.zeros(0, np.int64), np.zeros(0, np.int64)
         table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             slot = slots(batch.column(1), languages)
             flags = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            for low, high, data, bounds in c.chunks(batch.column(0), 4 << 20):
+            for low, high, data, bounds in c.chunks(batch.column(0), 2 << 20):
                 codes, owner = text_codes(data, bounds)
                 mine, good = slot[low:high][owner], flags[low:high][owner]
                 for k in np.unique(mine):
