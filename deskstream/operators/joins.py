@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskstream.functions import scoring
-from deskstream.operators.windows import topk_per_key
+from deskstream.operators.windows import ago, topk_per_key
 from deskstream.schemas import DEFAULTS, SLA_MINUTES
 
 USABLE_DRAFTS = ["GENERATED", "APPROVED", "EDITED"]
@@ -73,7 +73,7 @@ def stale_clusters(clusters: DataFrame, tickets: DataFrame, as_of: Column, idle_
     """Active clusters without news for ``idle_hours`` and without an open ticket, now CLOSED."""
     idle = clusters.where(
         (F.col("status") == "ACTIVE")
-        & (F.unix_micros("last_seen_at") < F.unix_micros(as_of) - F.lit(int(idle_hours * 3_600_000_000)))
+        & (F.col("last_seen_at") < ago(as_of, int(idle_hours * 3_600_000_000)))
     )
     busy = tickets.where(scoring.is_open(F.col("status"))).select(F.col("cluster_id").alias("id"))
     return idle.join(busy, "id", "left_anti").withColumn("status", F.lit("CLOSED"))
@@ -119,9 +119,7 @@ def reusable_draft(
     """
     incident = clusters.where("is_incident").select(F.col("id").alias("cluster_id"))
     clustered = tickets.join(incident, "cluster_id").select("id", "cluster_id")
-    fresh = _usable(drafts).where(
-        F.unix_micros("created_at") > F.unix_micros(as_of) - F.lit(int(hours * 3_600_000_000))
-    )
+    fresh = _usable(drafts).where(F.col("created_at") > ago(as_of, int(hours * 3_600_000_000)))
     owned = fresh.join(clustered.withColumnRenamed("id", "ticket_id"), "ticket_id")
     newest = F.struct("created_at", F.col("id"))
     per_ticket = owned.groupBy("cluster_id", "ticket_id").agg(F.max(newest).alias("d"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskstream.functions import scoring
-from deskstream.operators.windows import exact_percentiles
+from deskstream.operators.windows import ago, exact_percentiles
 from deskstream.schemas import DEFAULTS
 
 MICROS_PER_DAY = 86_400_000_000
@@ -17,7 +17,7 @@ REUSE_MODEL = "incident-reuse"
 def since(column: str, as_of: Column, days: int) -> Column:
     """Rows of the last ``days`` (clamped to 1..365) before ``as_of``."""
     days = max(1, min(days, 365))
-    return F.col(column) >= F.timestamp_micros(F.unix_micros(as_of) - F.lit(days * MICROS_PER_DAY))
+    return F.col(column) >= ago(as_of, days * MICROS_PER_DAY)
 
 
 def _live(tickets: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -181,13 +181,11 @@ def drift_rows(predictions: DataFrame, tickets: DataFrame, as_of: Column) -> Dat
     """Live category predictions with ``period``: recent (7 days) or baseline (the 30 before)."""
     from deskstream.operators.joins import predictions_x_tickets
 
-    at, now = F.unix_micros("created_at"), F.unix_micros(as_of)
-    day = F.lit(MICROS_PER_DAY)
-    period = F.when((at >= now - 7 * day) & (at < now), F.lit("recent")).when(
-        (at >= now - 37 * day) & (at < now - 7 * day), F.lit("baseline")
-    )
-    wanted = predictions.where((F.col("task") == "CATEGORY") & (F.col("model_name") != LLM_MODEL))
-    return predictions_x_tickets(wanted, tickets).withColumn("period", period).where(F.col("period").isNotNull())
+    day = MICROS_PER_DAY
+    period = F.when(F.col("created_at") >= ago(as_of, 7 * day), F.lit("recent")).otherwise(F.lit("baseline"))
+    inside = (F.col("created_at") >= ago(as_of, 37 * day)) & (F.col("created_at") < as_of)  # the column itself, so that the bound reaches the scan
+    wanted = predictions.where(inside & (F.col("task") == "CATEGORY") & (F.col("model_name") != LLM_MODEL))
+    return predictions_x_tickets(wanted.withColumn("period", period), tickets)
 
 
 def drift_window(predictions: DataFrame, tickets: DataFrame, as_of: Column, low: float = DEFAULTS.low_confidence) -> DataFrame:

@@ -19,6 +19,11 @@ MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
 
 # ----------------------------------------------------------------- primitives
+def ago(as_of: Column, micros: int) -> Column:
+    """A point in time before ``as_of``; a constant when ``as_of`` is one, so that scans can be filtered by it."""
+    return F.timestamp_micros(F.unix_micros(as_of) - F.lit(micros))
+
+
 def bucketed_running(
     frame: DataFrame, group: list[str], bucket: str, order: list[Column | str], sums: dict[str, str]
 ) -> DataFrame:

@@ -18,10 +18,14 @@ from deskstream.sources.bind import Inputs
 TAU, WINDOW_HOURS = 0.35, 24.0
 BURST_MINUTES, MIN_TICKETS, MIN_CUSTOMERS = 24 * 60, 3, 2
 
-PAIRS = f""", pairs AS (SELECT a.ticket_id, b.ticket_id AS similar_id, round(list_inner_product(a.embedding, b.embedding), 9) AS similarity
-  FROM vectors a JOIN vectors b ON a.product = b.product AND b.created_at >= a.created_at - INTERVAL 24 HOUR AND b.created_at <= a.created_at
-    AND (b.created_at < a.created_at OR b.ticket_id < a.ticket_id) AND a.ticket_id <> b.ticket_id
-  WHERE round(list_inner_product(a.embedding, b.embedding), 9) >= {TAU})"""
+# products once per pair of distinct vectors: tickets share the given vectors by id
+PAIRS = f""", sims AS MATERIALIZED (SELECT a.vec_id AS va, b.vec_id AS vb, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
+  FROM embeddings a JOIN embeddings b ON round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) >= {TAU}),
+placed AS MATERIALIZED (SELECT ticket_id, product, created_at, ticket_id % (SELECT count(*) FROM embeddings) AS vec_id FROM vectors),
+pairs AS (SELECT a.ticket_id, b.ticket_id AS similar_id, s.similarity
+  FROM placed a JOIN sims s ON s.va = a.vec_id JOIN placed b ON b.vec_id = s.vb AND a.product = b.product
+  WHERE b.created_at >= a.created_at - INTERVAL 24 HOUR AND b.created_at <= a.created_at
+    AND (b.created_at < a.created_at OR b.ticket_id < a.ticket_id) AND a.ticket_id <> b.ticket_id)"""
 LINKS = """, links AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY similarity DESC, similar_id) <= 20)"""
 COMPONENTS = """, e AS (SELECT ticket_id AS u, similar_id AS v FROM links UNION SELECT similar_id, ticket_id FROM links),
 walk AS (SELECT DISTINCT u AS id, u AS root FROM e UNION SELECT e.v, walk.root FROM walk JOIN e ON e.u = walk.id WHERE walk.root < e.v),
