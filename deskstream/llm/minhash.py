@@ -1,16 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
 A document's set holds its distinct shingles of five words. Equal sets collapse into one class first,
-so copies cost one row each. Every class keeps 128 minima: 32 bands of four give candidate keys, and
-the low four bits of every minimum are packed into eight numbers. Band generation is followed by a
-bit count: equal slots, corrected for chance collisions, estimate the similarity, and pairs that
-estimate below ``ESTIMATE`` (five standard errors under the threshold) go. All others are confirmed
+so copies cost one row each. Every class has 1,024 minima: the first 128 give candidate keys in 32
+bands of four, and the low two bits of all are packed into 32 numbers. Band generation is followed by
+a bit count: equal slots, corrected for chance collisions, estimate the similarity, and pairs that
+estimate below ``ESTIMATE`` (four standard errors under the threshold) go. All others are confirmed
 on full sets. The chance that a pair of exactly the least similarity shares no band is 5e-6.
 
 No bucket is expanded into all its pairs. First every member of a bucket is paired with the bucket's
-least class (a star). Confirmed links give components. Only members of one bucket that are still in
-different components are then compared with one another, inside tasks, in blocks of bounded size: a
-large bucket becomes many block pairs, and only pairs that pass the estimate leave a task.
+hub, the class that meets most others over all bands (the text that a family of near copies was made
+from). Confirmed links give components. Only members of one bucket that are still in different
+components are then compared with one another, inside tasks, in blocks of bounded size: a large bucket
+becomes many block pairs, and only pairs that pass the estimate leave a task.
 
 Defined results: without words or text the set is empty and linked with nothing. A document without
 an id is linked with nothing, its component is null, and it is kept. Rows that repeat an id and text
@@ -30,15 +31,15 @@ from pyspark.sql import functions as F
 from deskstream.llm import common as c
 from deskstream.llm.graphs import components
 
-BANDS, ROWS, BITS = 32, 4, 4
-HASHES = BANDS * ROWS
+BANDS, ROWS, BITS = 32, 4, 2
+HASHES = 1024
 LANES = HASHES * BITS // 64
-ESTIMATE = 0.55
+ESTIMATE = 0.685
 BLOCK = 512
 
 SIGNATURE = [f"s{k}" for k in range(LANES)]
 SKETCH_SCHEMA = "doc_id bigint, n bigint, d1 bigint, d2 bigint, " + ", ".join(f"{s} bigint" for s in SIGNATURE) + ", bands array<bigint>"
-_SLOTS = 0x1111111111111111
+_SLOTS = 0x5555555555555555
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -117,8 +118,7 @@ def estimate(left: str, right: str):
     differing = None
     for s in SIGNATURE:
         x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(_SLOTS))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_SLOTS))
         differing = F.bit_count(x) if differing is None else differing + F.bit_count(x)
     return (1 - differing / HASHES - 1 / 2**BITS) / (1 - 1 / 2**BITS)
 
@@ -127,7 +127,6 @@ def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The same for arrays of packed signatures (pairs, LANES)."""
     x = left ^ right
     x |= x >> c.U64(1)
-    x |= x >> c.U64(2)
     differing = np.bitwise_count(x & c.U64(_SLOTS)).sum(axis=1, dtype=np.int64)
     return (1 - differing / HASHES - 1 / 2**BITS) / (1 - 1 / 2**BITS)
 
@@ -135,7 +134,8 @@ def estimates(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def confirmed(pairs: DataFrame, docs: DataFrame, part: int, whole: int, width: int) -> DataFrame:
     """The pairs (a, b) with ``whole * intersection >= part * union``, on full sets of the texts."""
     spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    # these ids grow with the corpus: the join is never a broadcast
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct().hint("merge")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +163,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, part: int, whole: int, width: i
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, side, rep, component, signature) sorted by block pair: the pairs that pass the estimate."""
+    """Rows (key, i, j, side, rep, component, signature, bands) sorted by block pair: the pairs that pass the estimate.
+
+    A pair leaves the task of its first common band only.
+    """
 
     def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-        key, i, j, side, rep, part, *lanes = columns
+        key, i, j, side, rep, part, *lanes, bands = columns
         change = np.ones(len(key), bool)
         change[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         ends = np.append(np.flatnonzero(change)[1:], len(key)) if len(key) else np.zeros(0, np.int64)
@@ -184,7 +187,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             use = (part[left] != part[right]) & ((i[left] == j[left]) | (side[left] != side[right]))
             left, right = left[use], right[use]
             good = estimates(signature[left], signature[right]) >= ESTIMATE
-            out.append(np.stack([rep[left[good]], rep[right[good]]]))
+            left, right = left[good], right[good]
+            home = (bands[left] == bands[right]).argmax(axis=1)
+            home = bands[left, home] == key[left]
+            out.append(np.stack([rep[left[home]], rep[right[home]]]))
             low = high
         pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
         pairs = np.unique(np.sort(pairs, axis=0), axis=1)
@@ -192,7 +198,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        columns = [col.to_numpy(zero_copy_only=False) for col in batch.columns]
+        columns = [col.to_numpy(zero_copy_only=False) for col in batch.columns[:-1]]
+        columns.append(batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(-1, BANDS))
         if held is not None:
             columns = [np.concatenate(x) for x in zip(held, columns)]
         key, i, j = columns[:3]
@@ -207,10 +214,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, classes: DataFrame, part: int, whole: int, width: int) -> DataFrame:
     """Confirmed links (a, b) between classes, enough of them to give all components."""
     keyed = classes.select("rep", F.explode("bands").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("pivot")).where("members > 1")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     shared = c.saved(keyed.join(sizes, "key"), "buckets")
-    signature = classes.select("rep", *SIGNATURE)
-    star = shared.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    signature = classes.select("rep", *SIGNATURE, "bands")
+    met = shared.groupBy("rep").agg(F.sum("members").alias("met"))
+    hubs = shared.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("least"))).alias("hub"))
+    hubs = c.saved(hubs.select("key", (-F.col("hub.least")).alias("hub")), "hubs")
+    star = shared.join(hubs, "key").where("rep <> hub").select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     sided = star.join(signature.select(F.col("rep").alias("a"), F.struct(*SIGNATURE).alias("x")), "a")
     sided = sided.join(signature.select(F.col("rep").alias("b"), F.struct(*SIGNATURE).alias("y")), "b")
     candidates = c.saved(sided.where(estimate("x", "y") >= ESTIMATE).select("a", "b"), "candidates")
@@ -223,8 +233,8 @@ def links(docs: DataFrame, classes: DataFrame, part: int, whole: int, width: int
     side = F.pmod(F.xxhash64("rep"), blocks)
     rows = placed.join(open_, "key", "left_semi").join(signature, "rep").withColumn("side", side.cast("bigint"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))).alias("other")
-    rows = rows.select("key", "side", "rep", "part", *SIGNATURE, other)
-    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "part", *SIGNATURE)
+    rows = rows.select("key", "side", "rep", "part", *SIGNATURE, "bands", other)
+    rows = rows.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "part", *SIGNATURE, "bands")
     dealt = rows.repartition(c.partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     across = dealt.mapInArrow(_compare, "a bigint, b bigint").distinct().join(candidates, ["a", "b"], "left_anti")
     second = confirmed(c.saved(across, "across"), docs, part, whole, width)
