@@ -1,8 +1,8 @@
 """Toxicity by exact nearest labelled examples under TF-IDF cosine.
 
 Examples are a bounded sample of labelled rows (``EXAMPLES`` a class, by a seeded hash). Features are
-words and word beginnings of four to six bytes; those that tell the classes apart in the sample
-(chi-squared, at most ``FEATURES``) form the vocabulary. Inverse document frequencies come from all
+words and word beginnings of four to six bytes; those that go with toxic examples in the sample
+(chi-squared, at most ``FEATURES``) form the vocabulary: clean texts mostly share none of them. Inverse document frequencies come from all
 documents. The examples' unit vectors go into an inverted index with a maximum weight per
 feature and block of examples: for a text, blocks are visited in the order of the bound that these
 maxima give on their cosine, and the search ends when no bound beats the K-th neighbour, so neighbours
@@ -31,7 +31,8 @@ from deskstream.llm import common as c
 EXAMPLES = 4000
 CALIBRATION = 2000
 FEATURES = 1024
-LEAST_CHI2 = 25.0
+LEAST_CHI2 = 30.0
+LEAST_TEXTS = 5
 NEIGHBOURS = 15
 BLOCK = 128
 PRIOR_VOTES = 1.0
@@ -60,11 +61,12 @@ def _sample(labels: DataFrame, most: int, salt: int) -> DataFrame:
 
 def _texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """(text, toxic) of the sampled rows; at most 2 * EXAMPLES ids are broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))  # copies would vouch for each other
 
 
 def _vocabulary(rows: DataFrame) -> np.ndarray:
-    """Sorted features that tell the classes apart."""
+    """Sorted features that go with the toxic class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +85,7 @@ def _vocabulary(rows: DataFrame) -> np.ndarray:
     good = F.col("n") - F.col("bad")
     cross = F.col("bad") * F.lit(float(clean)) - good * F.lit(float(toxic))
     chi2 = F.lit(float(total)) * cross * cross / (F.lit(float(toxic) * clean) * F.col("n") * (F.lit(float(total)) - F.col("n") + 1e-9))
-    best = counts.withColumn("chi2", chi2).where((F.col("n") >= 5) & (F.col("chi2") >= LEAST_CHI2)).orderBy(F.col("chi2").desc(), "feature").limit(FEATURES)
+    best = counts.withColumn("chi2", chi2).where((F.col("n") >= LEAST_TEXTS) & (cross > 0) & (F.col("chi2") >= LEAST_CHI2)).orderBy(F.col("chi2").desc(), "feature").limit(FEATURES)
     return np.sort(np.array([r["feature"] for r in best.collect()], np.int64).view(c.U64))
 
 
@@ -116,34 +118,39 @@ def _document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int,
 
 
 class BlockMaxIndex:
-    """Unit vectors of the examples as postings by feature, with the greatest weight of each block."""
+    """Unit vectors of the examples as postings by feature in blocks of examples, with the greatest weight of each block.
+
+    Rows stand by their strongest feature, so that a block's maxima are tight.
+    """
 
     def __init__(self, vectors: np.ndarray, toxic: np.ndarray, ids: np.ndarray):
-        self.toxic, self.ids = toxic, ids
-        blocks = -(-len(vectors) // BLOCK)
+        order = np.lexsort((ids, -vectors.max(axis=1, initial=0), vectors.argmax(axis=1))) if vectors.size else np.arange(len(vectors))
+        self.toxic, self.ids = toxic[order], ids[order]
+        blocks = max(1, -(-len(vectors) // BLOCK))
         padded = np.zeros((blocks * BLOCK, vectors.shape[1]), np.float32)
-        padded[: len(vectors)] = vectors
-        self.most = padded.reshape(blocks, BLOCK, -1).max(axis=1).T.copy()  # (features, blocks)
-        self.postings: list[list[tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            part = padded[b * BLOCK : (b + 1) * BLOCK]
-            self.postings.append([(rows := np.flatnonzero(part[:, f]), part[rows, f]) for f in range(vectors.shape[1])])
+        padded[: len(vectors)] = vectors[order]
+        self.postings = padded.reshape(blocks, BLOCK, -1).transpose(2, 0, 1).copy()  # (features, blocks, BLOCK)
+        self.most = self.postings.max(axis=2)
 
     def nearest(self, features: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Exact nearest examples by cosine (of those with a common feature), best first."""
+        """Exact nearest examples by cosine (of those with a common feature), best first.
+
+        Blocks are visited in the order of their bounds, each time twice as many, until none can hold a better one.
+        """
+        weights = weights.astype(np.float32)
         bounds = weights @ self.most[features]
-        rows, scores = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(rows) == k and bounds[b] < scores[-1] - 1e-6:
-                break
-            dots = np.zeros(BLOCK)
-            for f, w in zip(features, weights):
-                at, values = self.postings[b][f]
-                dots[at] += w * values
-            some = np.flatnonzero(dots > 0)
-            rows, scores = np.append(rows, b * BLOCK + some), np.append(scores, np.round(dots[some], 6))
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        rows, scores, low, step = np.zeros(0, np.int64), np.zeros(0, np.float32), 0, 2
+        while low < len(order) and (len(rows) < k or bounds[order[low]] >= scores[-1] - 1e-5):
+            visit = order[low : low + step]
+            dots = np.round(np.einsum("f,fbr->br", weights, self.postings[np.ix_(features, visit)]), 5)
+            block, row = np.nonzero(dots > 0)
+            rows = np.concatenate([rows, visit[block] * BLOCK + row])
+            scores = np.concatenate([scores, dots[block, row]])
             best = np.lexsort((rows, -scores))[:k]
             rows, scores = rows[best], scores[best]
+            low, step = low + step, step * 2
         return rows, scores
 
 
