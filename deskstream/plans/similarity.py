@@ -191,22 +191,26 @@ def _near_pairs(i: Inputs) -> DataFrame:
     return blockjoin.similar_above(distinct, F.col("split"), 0.40)
 
 
-_SWEEP = [0.25, 0.30, 0.35, 0.40]
+_SWEEP = [0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60]  # nine, as the default, at the similarities of these vectors
 
 
 @query(
     "dedup_threshold_sweep",
     bind("labelled")
-    + """, p AS (SELECT round(list_inner_product(a.embedding, b.embedding), 9) AS s, a.incident_id IS NOT NULL AND a.incident_id = b.incident_id AS inc, a.root_cause_id = b.root_cause_id AS rc
-  FROM labelled a JOIN labelled b ON a.product = b.product AND b.created_at >= a.created_at - INTERVAL 24 HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.ticket_id < a.ticket_id))),
-t AS (SELECT unnest([0.25, 0.30, 0.35, 0.40])::DOUBLE AS threshold),
-c AS (SELECT threshold, count(*) FILTER (WHERE s >= threshold) AS pairs, count(*) FILTER (WHERE s >= threshold AND inc) AS tp, count(*) FILTER (WHERE s >= threshold AND coalesce(rc, false)) AS rc, count(*) FILTER (WHERE s >= 0.25 AND inc) AS pos FROM p, t GROUP BY 1),
+    + f""", sims AS MATERIALIZED (SELECT a.vec_id AS va, b.vec_id AS vb, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS s
+  FROM embeddings a CROSS JOIN embeddings b),
+l AS MATERIALIZED (SELECT ticket_id, product, created_at, incident_id, root_cause_id, ticket_id % (SELECT count(*) FROM embeddings) AS vec_id FROM labelled),
+p AS (SELECT s, a.incident_id IS NOT NULL AND a.incident_id = b.incident_id AS inc, a.root_cause_id = b.root_cause_id AS rc
+  FROM l a JOIN l b ON a.product = b.product AND b.created_at >= a.created_at - INTERVAL 72 HOUR AND (b.created_at < a.created_at OR (b.created_at = a.created_at AND b.ticket_id < a.ticket_id))
+  JOIN sims ON va = a.vec_id AND vb = b.vec_id),
+t AS (SELECT unnest({_SWEEP})::DOUBLE AS threshold),
+c AS (SELECT threshold, count(*) FILTER (WHERE s >= threshold) AS pairs, count(*) FILTER (WHERE s >= threshold AND inc) AS tp, count(*) FILTER (WHERE s >= threshold AND coalesce(rc, false)) AS rc, count(*) FILTER (WHERE s >= {_SWEEP[0]} AND inc) AS pos FROM p, t GROUP BY 1),
 m AS (SELECT threshold, tp / greatest(pairs, 1) AS incident_precision, tp / greatest(pos, 1) AS incident_recall, rc / greatest(pairs, 1) AS same_root_cause_precision, pairs FROM c)
 SELECT *, 2 * incident_precision * incident_recall / greatest(incident_precision + incident_recall, 1e-9) AS incident_f1 FROM m""",
     num="threshold incident_precision incident_recall same_root_cause_precision incident_f1",
 )
 def _dedup_sweep(i: Inputs) -> DataFrame:
-    return evaluate.dedup_threshold_sweep(i.labelled, _SWEEP, window_hours=24.0).drop("best")
+    return evaluate.dedup_threshold_sweep(i.labelled, _SWEEP).drop("best")
 
 
 @query(
