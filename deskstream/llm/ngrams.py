@@ -124,19 +124,19 @@ def ngram_counts(docs: DataFrame, languages: list[str], trusted: str | None = No
         for batch in batches:
             slot = slots(batch.column(1), languages)
             flags = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
-            for low, high, data, bounds in c.chunks(batch.column(0), 2 << 20):
+            for low, high, data, bounds in c.chunks(batch.column(0), 512 << 10):
                 codes, owner = text_codes(data, bounds)
                 mine, good = slot[low:high][owner], flags[low:high][owner]
                 for k in np.unique(mine):
                     if k not in table:
-                        table[k] = (np.zeros(space, np.int64), np.zeros(space, np.int64))
+                        table[k] = (np.zeros(space, np.int64), np.zeros(space if trusted else 0, np.int64))
                     total, flagged = table[k]
                     total += np.bincount(codes[mine == k], minlength=space)
                     if good.any():
                         flagged += np.bincount(codes[(mine == k) & good], minlength=space)
         for k, (total, flagged) in table.items():
             code = np.flatnonzero(total)
-            rows = [np.full(len(code), k, np.int32), code.astype(np.int32), total[code], flagged[code]]
+            rows = [np.full(len(code), k, np.int32), code.astype(np.int32), total[code], flagged[code] if trusted else 0 * code]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["slot", "code", "n", "trusted"])
 
     flag = F.col(f"`{trusted}`") if trusted else F.lit(False)

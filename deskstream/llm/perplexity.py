@@ -27,6 +27,7 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 BELOW, ABOVE = 8.0, 25.0
 LEAST_SPREAD = 0.008
+CHUNK_BYTES = 256 << 10  # every byte is an n-gram with its own bits: small chunks keep a task small
 SIGNS = np.zeros(256, bool)
 SIGNS[list(b"#*$%&|<>")] = True
 
@@ -118,7 +119,7 @@ class Bands:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 slot = g.slots(batch.column(2), languages)
-                for low, high, data, bounds in c.chunks(batch.column(1)):
+                for low, high, data, bounds in c.chunks(batch.column(1), CHUNK_BYTES):
                     symbols, bits = text_bits(data, bounds, slot[low:high], models.value)
                     arrays = [slot[low:high].astype(np.int32), *base_stats(data, bounds), symbols, bits]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *map(pa.array, arrays)], names=["doc_id", "slot", *STATS, "symbols", "bits"])
@@ -152,7 +153,7 @@ def passing(docs: DataFrame) -> DataFrame:
         for batch in batches:
             slot = g.slots(batch.column(lang_at), languages)
             centre, low_edge, high_edge = np.array([edges.get(int(k), (0.0, -np.inf, np.inf)) for k in slot]).reshape(-1, 3).T
-            for low, high, data, bounds in c.chunks(batch.column(text_at)):
+            for low, high, data, bounds in c.chunks(batch.column(text_at), CHUNK_BYTES):
                 symbols, bits = text_bits(data, bounds, slot[low:high], models.value)
                 level = (bits + centre[low:high] * g.PRIOR_SYMBOLS) / (symbols + g.PRIOR_SYMBOLS)
                 within = (symbols == 0) | ((level >= low_edge[low:high]) & (level <= high_edge[low:high]))
