@@ -1,23 +1,23 @@
 """Quality rules and n-gram perplexity bands.
 
-Spark counts the n-grams of all texts by language. The counts (at most 2^20 a language and sixteen
-models, see ``ngrams``) become modified Kneser-Ney models, kept as sorted hash arrays that tasks search
-by bisection; their proven bound is what allows them to be broadcast. Every text gets its mean bits a
-symbol. A language's band lies around the median of the texts that pass the base rules, its width in
-quartile distances; texts under the lower edge (formulaic) or over the upper one (noise) go.
+Spark counts the code-point n-grams of all texts by language and by half of the texts (a hash of the
+text); each half's counts become a modified Kneser-Ney model by joins of sharded tables (see
+``ngrams``), and every text gets its mean bits a symbol under the model of the other half. So no text
+is judged by its own n-grams, which would make a rare one look as expected as common ones, and equal
+texts stand in one half. No model passes through the driver. A language's band lies around the median
+of the texts that pass the base rules, its width in quartile distances; texts under the lower edge
+(formulaic) or over the upper one (noise) go.
 
 Defined results: null, empty and very short texts fail the base rules; a text without an n-gram has
-no perplexity; a missing or rare language uses the common model. Ties and repeated rows are scored
-alike. Columns beyond doc_id, text and lang are passed on untouched by ``passing``.
+no perplexity; every language has its model, and rows without a language share one; where the other
+half has no text, all symbols are alike. Ties and repeated rows are scored alike. Columns beyond
+doc_id, text and lang are passed on untouched by ``passing``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from deskstream.llm import common as c
@@ -27,12 +27,10 @@ MIN_WORDS = 50
 MAX_REPEATED = 50
 BELOW, ABOVE = 8.0, 25.0
 LEAST_SPREAD = 0.008
-CHUNK_BYTES = 256 << 10  # every byte is an n-gram with its own bits: small chunks keep a task small
 SIGNS = np.zeros(256, bool)
 SIGNS[list(b"#*$%&|<>")] = True
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCORE_SCHEMA = "doc_id bigint, slot int, " + ", ".join(f"{s} bigint" for s in STATS) + ", symbols bigint, bits double"
 
 
 def base_stats(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -76,88 +74,48 @@ def base_stats(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([counts, np.diff(per_word[first]), np.diff(signs[bounds]), dup_lines, repeated]).astype(np.int64)
 
 
-def base_failed(stats: np.ndarray) -> np.ndarray:
-    return (stats[0] < MIN_WORDS) | (100 * stats[4] > MAX_REPEATED * stats[0])
-
-
-def text_bits(data: np.ndarray, bounds: np.ndarray, slot: np.ndarray, models: dict[int, list]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols scored and their total bits, by text."""
-    codes, owner = g.text_codes(data, bounds)
-    bits = np.zeros(len(codes))
-    where = slot[owner]
-    for k in np.unique(where):
-        mine = where == k
-        bits[mine] = -np.log2(g.lookup(models[int(k)], codes[mine]))
-    n = len(bounds) - 1
-    return np.bincount(owner, minlength=n), np.bincount(owner, weights=bits, minlength=n)
-
-
-class Bands:
-    """Languages, broadcast models and band edges of a corpus."""
-
-    def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
-        self.languages = g.leading_languages(docs)
-        rows = g.ngram_counts(docs, self.languages).select("slot", "code", "n").toPandas()
-        models = {}
-        for slot, part in rows.groupby("slot"):
-            part = part.sort_values("code")
-            models[int(slot)] = g.kneser_ney(part["code"].to_numpy(np.int64), part["n"].to_numpy(np.int64))
-        self.models = spark.sparkContext.broadcast(models)
-        self.scores = c.saved(self._score(docs), "perplexity")
-        mean = F.col("bits") / F.col("symbols")
-        usable = self.scores.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat_words") <= MAX_REPEATED * F.col("n_words")) & (F.col("symbols") > 0))
-        middle = usable.groupBy("slot").agg(F.percentile_approx(mean, [0.25, 0.5, 0.75], 10000).alias("q"))
-        self.edges = {}
-        for slot, (low, centre, high) in ((r["slot"], r["q"]) for r in middle.collect()):
-            spread = max((high - low) / 2, LEAST_SPREAD)
-            self.edges[slot] = (centre, centre - BELOW * spread, centre + ABOVE * spread)
-
-    def _score(self, docs: DataFrame) -> DataFrame:
-        models, languages = self.models, self.languages
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                slot = g.slots(batch.column(2), languages)
-                for low, high, data, bounds in c.chunks(batch.column(1), CHUNK_BYTES):
-                    symbols, bits = text_bits(data, bounds, slot[low:high], models.value)
-                    arrays = [slot[low:high].astype(np.int32), *base_stats(data, bounds), symbols, bits]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *map(pa.array, arrays)], names=["doc_id", "slot", *STATS, "symbols", "bits"])
-
-        return docs.select("doc_id", "text", "lang").mapInArrow(run, SCORE_SCHEMA)
+def scores(docs: DataFrame) -> DataFrame:
+    """Base figures, symbols, bits and two hashes of text and language of every document; saved."""
+    c.ready(docs.sparkSession)
+    slot = g.language().bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(1)))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", slot.alias("slot"), *_keys())
+    counts = c.saved(g.ngram_counts(numbered.select("text", "slot", F.lit(False).alias("flag"))), "ngrams")
+    other = counts.select(F.col("slot").bitwiseXOR(F.lit(1)).alias("slot"), "code", "n")
+    model = c.saved(g.probabilities(counts.select("slot", "code"), other), "probabilities")
+    return c.saved(g.text_bits(numbered, model, ["key_a", "key_b", *STATS], base_stats), "perplexity")
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Base figures, perplexity, band and verdict of every document."""
-    bands = Bands(docs)
-    spark = docs.sparkSession
-    edges = spark.createDataFrame([(k, *v) for k, v in bands.edges.items()], "slot int, centre double, low double, high double")
-    rows = bands.scores.join(F.broadcast(edges), "slot", "left")  # one row per model, sixteen at most
-    level = g.shrunk(F.col("bits"), F.col("symbols"), F.col("centre"))
+def _keys() -> list[Column]:
+    return [F.xxhash64("text", "lang").alias("key_a"), F.coalesce(F.crc32("text"), F.lit(-1)).alias("key_b")]
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``scores`` with the language's band and the verdict."""
+    rows = scores(docs).withColumn("slot", F.col("slot").bitwiseAND(F.lit(-2)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+    mean = F.col("bits") / F.col("symbols")
+    middle = rows.where(~failed & (F.col("symbols") > 0)).groupBy("slot").agg(F.percentile_approx(mean, [0.25, 0.5, 0.75], 10000).alias("q"))
+    low, centre, high = (F.col("q")[k] for k in range(3))
+    spread = F.greatest((high - low) / 2, F.lit(LEAST_SPREAD))
+    edges = middle.select("slot", centre.alias("centre"), (centre - BELOW * spread).alias("low"), (centre + ABOVE * spread).alias("high"))
+    level = g.shrunk(F.col("bits"), F.col("symbols"), F.col("centre"))
     within = F.coalesce((F.col("symbols") == 0) | level.between(F.col("low"), F.col("high")), F.lit(True))
+    joined = rows.join(F.broadcast(edges), "slot", "left")  # one row per language
+    return joined.withColumns({"base_failed": failed, "kept": ~failed & within})
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Base figures, perplexity, band and verdict of every document."""
     perplexity = F.when(F.col("symbols") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("symbols")))
-    return rows.select(
-        "doc_id", *STATS, failed.alias("base_failed"), perplexity.alias("perplexity"),
-        F.pow(F.lit(2.0), F.col("low")).alias("lower"), F.pow(F.lit(2.0), F.col("high")).alias("upper"), (~failed & within).alias("kept"),
+    return judged(docs).select(
+        "doc_id", *STATS, "base_failed", perplexity.alias("perplexity"),
+        F.pow(F.lit(2.0), F.col("low")).alias("lower"), F.pow(F.lit(2.0), F.col("high")).alias("upper"), "kept",
     )
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their own columns. Texts are scored again rather than shuffled to their scores."""
-    bands = Bands(docs)
-    models, languages, edges, names = bands.models, bands.languages, bands.edges, docs.columns
-    text_at, lang_at = names.index("text"), names.index("lang")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = g.slots(batch.column(lang_at), languages)
-            centre, low_edge, high_edge = np.array([edges.get(int(k), (0.0, -np.inf, np.inf)) for k in slot]).reshape(-1, 3).T
-            for low, high, data, bounds in c.chunks(batch.column(text_at), CHUNK_BYTES):
-                symbols, bits = text_bits(data, bounds, slot[low:high], models.value)
-                level = (bits + centre[low:high] * g.PRIOR_SYMBOLS) / (symbols + g.PRIOR_SYMBOLS)
-                within = (symbols == 0) | ((level >= low_edge[low:high]) & (level <= high_edge[low:high]))
-                keep = within & ~base_failed(base_stats(data, bounds))
-                yield batch.slice(low, high - low).filter(pa.array(keep))
-
-    return docs.mapInArrow(run, docs.schema)
+    """The documents that the rules keep, with their own columns. Equal texts of a language have one verdict."""
+    gone = c.saved(judged(docs).where(~F.col("kept")).select("key_a", "key_b").distinct(), "rejected")
+    names = c.unused(docs, "key_a", "key_b")
+    marked = docs.withColumns(dict(zip(names, _keys())))
+    return marked.join(gone.toDF(*names), names, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
