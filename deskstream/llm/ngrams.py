@@ -288,7 +288,7 @@ def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures:
                     at = np.searchsorted(keys.values.to_numpy(), names)
                     bits = np.bincount(text, counts * batch.column(10)[r].values.to_numpy()[at][places], len(rows))
                     scored = symbols
-                more = more.reshape(len(side), -1) if shard == 0 else np.zeros((len(side), len(rows)), np.int64)
+                more = more.reshape(len(side), len(rows)) if shard == 0 else np.zeros((len(side), len(rows)), np.int64)
                 use = np.ones(len(rows), bool) if shard == 0 else symbols > 0
                 arrays = [pa.array(rows[use]), pa.array(ids[use], mask=ids[use] == np.iinfo(np.int64).min), *(pa.array(x[use]) for x in (np.full(len(rows), slot), symbols, scored, bits, *more))]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
