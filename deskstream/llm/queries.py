@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from deskstream.llm import chat, mixing
+from deskstream.llm import chat, collocations, infill, mixing
 from deskstream.llm import common as c
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,5 +94,19 @@ def _mix(spark: SparkSession, directory: str) -> DataFrame:
     return mixture(c.table(spark, directory, "documents"))
 
 
+def _phrases(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.collocations import collocations
+
+    return collocations(c.table(spark, directory, "documents"))
+
+
+def _infill(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.infill import digests
+
+    return digests(c.table(spark, directory, "documents"))
+
+
 query("op1_chat_format", chat.ORACLE)(_chat)
 query("op9_mixture", mixing.oracle())(_mix)
+query("op12_collocations", collocations.ORACLE)(_phrases)
+query("op13_fill_in_middle", infill.ORACLE)(_infill)
