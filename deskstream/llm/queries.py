@@ -106,6 +106,13 @@ def _infill(spark: SparkSession, directory: str) -> DataFrame:
     return digests(c.table(spark, directory, "documents"))
 
 
+@query("op11_main_text")
+def main_text(spark: SparkSession, directory: str) -> DataFrame:
+    from deskstream.llm.maincontent import extract
+
+    return extract(c.table(spark, directory, "pages"))
+
+
 query("op1_chat_format", chat.ORACLE)(_chat)
 query("op9_mixture", mixing.oracle())(_mix)
 query("op12_collocations", collocations.ORACLE)(_phrases)
