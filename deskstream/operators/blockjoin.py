@@ -51,6 +51,12 @@ class Side:
             self._columns[name] = self.table.column(name).to_numpy()
         return self._columns[name]
 
+    def once(self, name: str, build: Callable[[pa.Table], object]) -> object:
+        """What ``build`` makes of the chunk, made at its first use."""
+        if name not in self._columns:
+            self._columns[name] = build(self.table)
+        return self._columns[name]
+
     def matrix(self, name: str = "embedding") -> np.ndarray:
         """A list column as a dense float64 matrix."""
         if name not in self._columns:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deskstream.functions import stemming
 from deskstream.operators import joins, projection, quality, windows
 from deskstream.plans.bindings import NOW, bind
 from deskstream.plans.registry import query
@@ -28,19 +29,25 @@ def _list(i: Inputs) -> DataFrame:
     return projection.ticket_list_filter(i.tickets, i.clusters, f).select("id", "queue", "category", "escalation_risk", "is_incident")
 
 
+_SEARCHED = "(SELECT id, subject, unnest(regexp_extract_all(lower(concat_ws(' ', subject, body, resolution)), '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(lower(concat_ws(' ', subject, body, resolution)), '[a-z0-9]+'), 1) AS pos FROM notes)"
+
+
 @query(
     "text_search_filter",
     bind("notes")
-    + """ SELECT id FROM notes WHERE subject ILIKE '%invoice charge or "locked out" -gdpr%' OR (
-  (regexp_matches(lower(concat_ws(' ', subject, body, resolution)), '(^|[^a-z0-9])invoice([^a-z0-9]|$)')
-   AND regexp_matches(lower(concat_ws(' ', subject, body, resolution)), '(^|[^a-z0-9])charge([^a-z0-9]|$)'))
-  OR (regexp_matches(lower(concat_ws(' ', subject, body, resolution)), '(^|[^a-z0-9])locked[^a-z0-9]+out([^a-z0-9]|$)')
-   AND NOT regexp_matches(lower(concat_ws(' ', subject, body, resolution)), '(^|[^a-z0-9])gdpr([^a-z0-9]|$)')))""",
+    + f""", words AS {_SEARCHED}, {stemming.stem_ctes("words")},
+known AS MATERIALIZED (SELECT term, stem FROM stems WHERE stem IN ('invoic', 'charg', 'lock', 'gdpr', 'sinc', 'updat')),
+placed AS MATERIALIZED (SELECT id, pos, stem FROM words JOIN known USING (term)),
+asked AS (SELECT id, max(CAST(stem = 'invoic' AS INT)) AS a, max(CAST(stem = 'charg' AS INT)) AS b, max(CAST(stem = 'gdpr' AS INT)) AS d FROM placed GROUP BY 1),
+phrase AS (SELECT DISTINCT x.id FROM placed x JOIN placed y ON y.id = x.id AND y.pos = x.pos + 2 JOIN placed z ON z.id = x.id AND z.pos = x.pos + 4
+  WHERE x.stem = 'lock' AND y.stem = 'sinc' AND z.stem = 'updat')
+SELECT n.id FROM notes n LEFT JOIN asked USING (id) LEFT JOIN phrase p ON p.id = n.id
+WHERE n.subject ILIKE '%the invoices charged or "locking out since the updates" -gdpr%' OR (a = 1 AND b = 1) OR (p.id IS NOT NULL AND coalesce(d, 0) = 0)""",
 )
 def _search(i: Inputs) -> DataFrame:
     from deskstream.operators.search import text_search_filter
 
-    return text_search_filter(i.notes, 'invoice charge or "locked out" -gdpr').select("id")
+    return text_search_filter(i.notes, 'the invoices charged or "locking out since the updates" -gdpr').select("id")
 
 
 @query(
