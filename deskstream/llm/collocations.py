@@ -36,7 +36,7 @@ from deskstream.llm import common as c
 
 LONGEST = 4
 LEAST = 30
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 PART_MASS = 1 << 22
 TOP = 2000
 SALTS = 64
