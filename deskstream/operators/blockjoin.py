@@ -271,30 +271,6 @@ def pair_histogram(
     )
 
 
-# --------------------------------------------------------------- nearest k rows
-def vector_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = DEFAULTS.retrieval_leg, block: int = BLOCK_ROWS
-) -> DataFrame:
-    """(qid, id, cosine, rank): exact nearest ``k`` corpus rows per query, itself excluded.
-
-    Both sides have id and embedding. Rank is 0-based.
-    """
-    left = queries.select(F.lit("all").alias("cell"), "id", "embedding")
-    right = corpus.select(F.lit("all").alias("cell"), "id", "embedding")
-
-    def kernel(lt: Side, rt: Side) -> pa.Table:
-        li, ri = lt.longs("id"), rt.longs("id")
-        scores = np.round(lt.matrix() @ rt.matrix().T, SIMILARITY_DIGITS)
-        rows, cols = best_k(scores, ri, li[:, None] != ri[None, :], k)
-        return pa.table({"qid": li[rows], "id": ri[cols], "cosine": scores[rows, cols]})
-
-    hits = block_join(left, right, kernel, "qid BIGINT, id BIGINT, cosine DOUBLE", block)
-    from deskstream.operators.windows import topk_per_key
-
-    ranked = topk_per_key(hits, ["qid"], [F.col("cosine").desc(), F.col("id")], k)
-    return ranked.withColumn("rank", F.col("rank") - 1)
-
-
 def similar_above(
     vectors: DataFrame, cell: Column, threshold: float, block: int = BLOCK_ROWS
 ) -> DataFrame:

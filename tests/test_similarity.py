@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from deskstream.operators import blockjoin, graph, joins, lifecycle, search, windows
+from deskstream.operators import blockjoin, graph, joins, lifecycle, metricindex, search, windows
 
 T0 = dt.datetime(2024, 1, 1)
 VECTORS = "ticket_id BIGINT, product STRING, created_at TIMESTAMP, customer_id BIGINT, embedding ARRAY<FLOAT>"
@@ -182,7 +182,7 @@ def test_nearest_k_equals_brute_force(spark, block):
     m = m.astype(np.float32)
     frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "id BIGINT, embedding ARRAY<FLOAT>")
     got = {}
-    for r in blockjoin.vector_topk(frame, frame, 5, block).orderBy("qid", "rank").collect():
+    for r in metricindex.vector_topk(frame, frame, 5, block).orderBy("qid", "rank").collect():
         got.setdefault(r["qid"], []).append(r["id"])
     s = np.round(m.astype(float) @ m.astype(float).T, 9)
     want = {q: sorted((i for i in range(60) if i != q), key=lambda i: (-s[q, i], i))[:5] for q in range(60)}
