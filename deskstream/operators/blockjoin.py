@@ -118,11 +118,13 @@ def best_k(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) ->
 
 
 # ------------------------------------------------------- pairs in a time window
-def window_cells(vectors: DataFrame, window_hours: float) -> tuple[DataFrame, DataFrame]:
+def window_cells(vectors: DataFrame, window_hours: float, tau: float, block: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """Query and candidate sides of the look-back join.
 
-    A cell is (product, time slice of the window length); a query looks into its own
-    slice and the one before.
+    A cell is (product, time slice of the window length); a query looks into its own slice and the one before.
+    Where a slice holds more than a block, cells are cut further by the nearest of some pivots (``Pivots``), as many
+    as the fullest slice has blocks: a query goes only to pivots around which a candidate can reach ``tau``, so
+    tickets about different things never meet, and equal vectors stand in one cell.
     """
     width = int(window_hours * 3_600_000_000)
     at = F.unix_micros("created_at")
@@ -144,12 +146,20 @@ def window_cells(vectors: DataFrame, window_hours: float) -> tuple[DataFrame, Da
         *extra,
         "embedding",
     )
-    cell = lambda slot: F.concat_ws("|", F.col("product"), slot.cast("string"))
-    candidates = base.withColumn("cell", cell(F.col("slot"))).drop("product", "slot")
+    from deskstream.operators.metricindex import near_pivots
+
+    fullest = base.groupBy("product", "slot").count().agg(F.max("count")).first()[0] or 0
+    if fullest > block:
+        base = near_pivots(base, -(-fullest // block), tau)
+    else:
+        base = base.withColumns({"home": F.lit(0), "reach": F.array(F.lit(0))})
+    cell = lambda slot, pivot: F.concat_ws("|", F.col("product"), slot.cast("string"), pivot.cast("string"))
+    candidates = base.withColumn("cell", cell(F.col("slot"), F.col("home"))).drop("product", "slot", "home", "reach")
     queries = (
-        base.withColumn("_s", F.explode(F.array(F.col("slot") - 1, F.col("slot"))))
-        .withColumn("cell", cell(F.col("_s")))
-        .drop("product", "slot", "_s")
+        base.withColumn("_p", F.explode("reach"))
+        .withColumn("_s", F.explode(F.array(F.col("slot") - 1, F.col("slot"))))
+        .withColumn("cell", cell(F.col("_s"), F.col("_p")))
+        .drop("product", "slot", "home", "reach", "_p", "_s")
     )
     return queries, candidates
 
@@ -180,7 +190,7 @@ def duplicate_pairs(
     the best ``k`` overall; taking the best k first and cutting at tau after gives the same rows.
     """
     width = int(window_hours * 3_600_000_000)
-    queries, candidates = window_cells(vectors, window_hours)
+    queries, candidates = window_cells(vectors, window_hours, tau, block)
 
     def kernel(left: Side, right: Side) -> pa.Table:
         li, ri, scores, allowed = _window_scores(left, right, width)
@@ -213,7 +223,7 @@ def similar_recent(
     Training counts all of them, serving at most ``cap`` = 20.
     """
     width = int(window_hours * 3_600_000_000)
-    queries, candidates = window_cells(vectors, window_hours)
+    queries, candidates = window_cells(vectors, window_hours, tau, block)
 
     def kernel(left: Side, right: Side) -> pa.Table:
         li, _, scores, allowed = _window_scores(left, right, width)
@@ -239,8 +249,8 @@ def pair_histogram(
     Only these counts leave a task, whatever the number of pairs.
     """
     width = int(window_hours * 3_600_000_000)
-    queries, candidates = window_cells(vectors, window_hours)
     cuts = sorted(thresholds)
+    queries, candidates = window_cells(vectors, window_hours, cuts[0], block)
 
     def kernel(left: Side, right: Side) -> pa.Table:
         _, _, scores, allowed = _window_scores(left, right, width)

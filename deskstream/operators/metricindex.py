@@ -61,6 +61,36 @@ class Pivots:
         return x @ self.vectors.T + length[:, None] * self.radius
 
 
+def near_pivots(rows: DataFrame, n: int, tau: float) -> DataFrame:
+    """``rows`` (id, embedding, ...) with ``home``, the nearest of ``n`` pivots, and ``reach``, the pivots around which a row can score ``tau``."""
+    wide = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names, at = list(rows.columns), rows.columns.index("embedding")
+    some = rows.where(F.size("embedding") > 0).orderBy(F.xxhash64("id"), "id").limit(4 * min(n, MOST_CELLS)).select("embedding").collect()
+    pivots = Pivots(np.array(list(dict.fromkeys(tuple(r["embedding"]) for r in some)), float)[:n])
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                far = pivots.distances(_matrix(batch.column(at)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far.argmin(axis=1).astype(np.int32)), pa.array(far.min(axis=1))], names=[*names, "home", "far"])
+
+    placed = written(rows.mapInArrow(home, f"{wide}, home INT, far DOUBLE"), "placed")
+    for r in placed.groupBy("home").agg(F.max("far").alias("radius")).collect():  # a row a pivot
+        pivots.radius[r["home"]] = r["radius"] + MARGIN
+    used = pivots.radius > 0
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BLOCK_ROWS):
+                batch = whole.slice(start, BLOCK_ROWS)
+                row, pivot = np.nonzero((pivots.bounds(_matrix(batch.column(at))) >= tau - MARGIN) & used)
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(pivot.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "home", "reach"])
+
+    return placed.drop("far").mapInArrow(reach, f"{wide}, home INT, reach ARRAY<INT>")
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 

@@ -22,8 +22,9 @@ BURST_MINUTES, MIN_TICKETS, MIN_CUSTOMERS = 24 * 60, 3, 2
 PAIRS = f""", sims AS MATERIALIZED (SELECT a.vec_id AS va, b.vec_id AS vb, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
   FROM embeddings a JOIN embeddings b ON round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) >= {TAU}),
 placed AS MATERIALIZED (SELECT ticket_id, product, created_at, ticket_id % (SELECT count(*) FROM embeddings) AS vec_id FROM vectors),
-pairs AS (SELECT a.ticket_id, b.ticket_id AS similar_id, s.similarity
-  FROM placed a JOIN sims s ON s.va = a.vec_id JOIN placed b ON b.vec_id = s.vb AND a.product = b.product
+near AS MATERIALIZED (SELECT a.ticket_id, a.product, a.created_at, s.vb, s.similarity FROM placed a JOIN sims s ON s.va = a.vec_id),
+pairs AS MATERIALIZED (SELECT a.ticket_id, b.ticket_id AS similar_id, a.similarity
+  FROM near a JOIN placed b ON b.vec_id = a.vb AND b.product = a.product
   WHERE b.created_at >= a.created_at - INTERVAL 24 HOUR AND b.created_at <= a.created_at
     AND (b.created_at < a.created_at OR b.ticket_id < a.ticket_id) AND a.ticket_id <> b.ticket_id)"""
 LINKS = """, links AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY ticket_id ORDER BY similarity DESC, similar_id) <= 20)"""

@@ -131,3 +131,24 @@ def test_metric_index_is_exact_and_prunes(spark):
     unit = frame.where("id <> 300")
     assert metricindex.visited_share(unit, unit, 5, cell_rows=20) < 0.5
     assert metricindex.vector_topk(frame.where("id < 0"), frame, 3).count() == 0 and metricindex.vector_topk(frame, frame.where("id < 0"), 3).count() == 0
+
+
+def test_window_cells_are_cut_by_pivots(spark):
+    """Tight topics in one hot product: the same pairs, and queries meet a small part of the candidates."""
+    import datetime as dt
+
+    from deskstream.operators import blockjoin
+
+    x = clustered(600, 5)
+    rng = np.random.default_rng(1)
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, "api", start + dt.timedelta(seconds=int(rng.integers(0, 50_000))), v.tolist()) for k, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "ticket_id bigint, product string, created_at timestamp, embedding array<float>")
+    queries, candidates = blockjoin.window_cells(frame, 24.0, 0.7, block=25)
+    met = queries.groupBy("cell").count().join(candidates.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert met < 0.6 * 600 * 600
+    pairs = lambda block: sorted(tuple(r) for r in blockjoin.duplicate_pairs(frame, 0.7, 24.0, block=block).collect())
+    s = np.round(x.astype(float) @ x.astype(float).T, 9)
+    order = [(r[2], r[0]) for r in rows]
+    want = sorted((a, b, s[a, b]) for a in range(600) for b in range(600) if order[b] < order[a] and s[a, b] >= 0.7)
+    assert pairs(25) == want == pairs(10_000)
