@@ -111,7 +111,12 @@ def exact_percentiles(frame: DataFrame, value: str, percentages: list[float], na
     values = frame.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
         F.count(F.lit(1)).alias("c")
     )
-    bounds = quantile_bounds(frame, value)
+    return counted_percentiles(values, percentages, names)
+
+
+def counted_percentiles(values: DataFrame, percentages: list[float], names: list[str]) -> DataFrame:
+    """``exact_percentiles`` of values that are already counted: ``values`` is (v, c), each v once."""
+    bounds = quantile_bounds(values, "v")
     bucketed = values.withColumn("_b", bucket_by_bounds(F.col("v"), bounds))
     ranked = bucketed_running(bucketed, [], "_b", ["v"], {"upto": "c"})
     total = values.agg(F.sum("c").alias("n"))

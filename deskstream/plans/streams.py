@@ -43,13 +43,17 @@ _MARK = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 @query(
     "stream_ingest",
-    bind("judged") + " SELECT external_id, count(*) AS n FROM judged WHERE outcome = 'CREATED' GROUP BY 1",
+    bind("judged")
+    + """, timed AS (SELECT *, coalesce(try_cast(created_raw AS TIMESTAMP), TIMESTAMP '2024-01-31 00:00:00') AS stamp FROM checked WHERE error IS NULL)
+SELECT external_id, arg_min(id, (stamp, arrival, id)) AS id, min(stamp) AS created_at FROM timed WHERE external_id IS NOT NULL GROUP BY 1
+HAVING epoch_ms(min(stamp)) < (SELECT epoch_ms(max(stamp) - INTERVAL 10 MINUTE) FROM timed WHERE external_id IS NOT NULL)
+UNION ALL SELECT NULL, id, stamp FROM timed WHERE external_id IS NULL""",
+    ts="created_at",
 )
 def _ingest(i: Inputs) -> DataFrame:
     rows = StreamInputs(i).uploads
     timed = rows.withColumn("created_at", F.coalesce(ingest.parse_created_at(F.col("created_raw")), F.lit("2024-01-31").cast("timestamp")))
-    created = op.drain(op.stream_ingest(timed, "60 days").select("external_id", "product"), "ingest")
-    return created.groupBy("external_id").agg(F.count(F.lit(1)).alias("n"))
+    return op.drain(op.stream_ingest(timed).select("external_id", "id", "created_at"), "ingest")
 
 
 @query(
@@ -62,10 +66,17 @@ def _volume(i: Inputs) -> DataFrame:
     return op.drain(op.stream_volume(StreamInputs(i).tickets, "1 hour"), "volume")
 
 
-@query("stream_burst")
+@query(
+    "stream_burst",
+    bind("tickets")
+    + f""", each AS (SELECT product, coalesce(CAST(customer_id AS VARCHAR), concat('t', id)) AS who,
+    unnest(generate_series(time_bucket(INTERVAL 1 MINUTE, created_at) - INTERVAL 59 MINUTE, time_bucket(INTERVAL 1 MINUTE, created_at), INTERVAL 1 MINUTE)) AS window_start FROM tickets)
+SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, product, count(*) AS tickets, count(DISTINCT who) AS customers FROM each
+WHERE window_start + INTERVAL 60 MINUTE <= {_MARK} GROUP BY 1, 2, 3 HAVING count(*) >= 5 AND count(DISTINCT who) >= 4""",
+    ts="window_start window_end",
+)
 def _burst(i: Inputs) -> DataFrame:
-    burst = op.stream_burst(StreamInputs(i).tickets, "6 hours", "1 hour", min_tickets=15, min_customers=10)
-    return op.drain(burst, "burst")
+    return op.drain(op.stream_burst(StreamInputs(i).tickets, "60 minutes", "1 minute", min_tickets=5, min_customers=4), "burst")
 
 
 @query(
@@ -186,6 +197,17 @@ def _latency(i: Inputs) -> DataFrame:
     return op.stream_triage_latency(StreamInputs(i).tickets).select("triage_p50", "triage_p95")
 
 
+@query(
+    "stream_pipeline_latency",
+    bind("tickets")
+    + """ SELECT quantile_cont(epoch_us(triaged_at) - epoch_us(ingested_at), 0.5) / 1e6 AS triage_p50, quantile_cont(epoch_us(triaged_at) - epoch_us(ingested_at), 0.95) / 1e6 AS triage_p95,
+  quantile_cont(epoch_us(drafted_at) - epoch_us(ingested_at), 0.5) / 1e6 AS draft_p50, quantile_cont(epoch_us(drafted_at) - epoch_us(ingested_at), 0.95) / 1e6 AS draft_p95 FROM tickets""",
+    num="triage_p50 triage_p95 draft_p50 draft_p95",
+)
+def _pipeline_latency(i: Inputs) -> DataFrame:
+    return op.stream_pipeline_latency(StreamInputs(i).tickets)
+
+
 @query("replay_stream", bind("tickets") + " SELECT id, product, created_at FROM tickets", ts="created_at")
 def _replay(i: Inputs) -> DataFrame:
     """History replayed in four or so micro-batches; every row arrives once."""

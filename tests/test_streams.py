@@ -54,3 +54,54 @@ def test_replay_arrives_in_time_order(spark, inputs):
     seen.sort()
     assert sum(s[3] for s in seen) == rows.count() and len(seen) >= 4
     assert all(a[2] <= b[1] for a, b in zip(seen, seen[1:]))
+
+
+def _cut(spark, frame, batches, order="created_at"):
+    """``frame`` as a file stream of so many micro-batches, in the order of ``order``."""
+    import math
+
+    from deskstream.session import scratch_path
+
+    rows = sorted(frame.collect(), key=lambda r: (r[order], r["id"]))
+    path = scratch_path(spark, "cut")
+    step = math.ceil(len(rows) / batches)
+    for k in range(0, len(rows), step):
+        spark.createDataFrame(rows[k : k + step], frame.schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_ingest_keeps_the_earliest_however_the_input_is_cut(spark, inputs):
+    from deskstream.operators import ingest
+
+    rows = inputs.uploads.withColumn("created_at", F.coalesce(ingest.parse_created_at(F.col("created_raw")), F.lit("2024-01-01").cast("timestamp"))).limit(600)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+    valid = [r for r in ingest.validate_rows(rows).where(F.col("error").isNull()).collect()]
+    first = {}
+    for r in valid:
+        key = r["external_id"] if r["external_id"] is not None else ("row", r["id"])
+        if key not in first or (r["created_at"], r["arrival"], r["id"]) < first[key]:
+            first[key] = (r["created_at"], r["arrival"], r["id"])
+    mark = max(r["created_at"] for r in valid if r["external_id"] is not None)
+    want = sorted(v[2] for k, v in first.items() if isinstance(k, tuple) or v[0] < mark)
+    for batches in (1, 8):
+        out = op.drain(op.stream_ingest(_cut(spark, rows, batches), "0 seconds"), "cut-ingest")
+        assert out.columns == rows.columns
+        got = out.collect()
+        assert sorted(r["id"] for r in got) == want
+        by_id = {r["id"]: r for r in valid}
+        assert all(r["created_at"] == by_id[r["id"]]["created_at"] and r["subject"] == by_id[r["id"]]["subject"] for r in got)
+
+
+def test_latency_and_bursts_do_not_depend_on_the_cut(spark, inputs):
+    tickets = inputs.tickets.select("id", "product", "customer_id", "created_at", "ingested_at", "triaged_at", "drafted_at")
+    seen, bursts = set(), set()
+    for batches in (1, 6):
+        seen.add(tuple(op.stream_pipeline_latency(_cut(spark, tickets, batches)).first()))
+        burst = op.drain(op.stream_burst(_cut(spark, tickets, batches), "60 minutes", "10 minutes", 2, 2), "cut-burst")
+        bursts.add(tuple(sorted(tuple(r) for r in burst.collect())))
+    assert len(seen) == 1 and len(bursts) == 1
+    import numpy as np
+
+    rows = tickets.collect()
+    seconds = [[(r[end] - r["ingested_at"]).total_seconds() for r in rows if r[end] is not None] for end in ("triaged_at", "drafted_at")]
+    assert np.allclose(next(iter(seen)), [np.percentile(x, p) for x in seconds for p in (50, 95)])
