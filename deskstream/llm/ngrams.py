@@ -203,7 +203,7 @@ def probabilities(needed: DataFrame, known: DataFrame) -> DataFrame:
 PACK_SCHEMA = "shard int, slot bigint, rows binary, ids binary, side binary, ends binary, names binary, places binary, counts binary"
 SUM_SCHEMA = "row bigint, doc_id bigint, slot bigint, symbols bigint, scored bigint, bits double"
 KINDS = (np.int64, np.int64, np.int64, np.int32, np.int64, np.uint32, np.uint32)
-PACK_BYTES = 2 << 20
+PACK_BYTES = 4 << 20
 
 
 def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFrame:
@@ -258,17 +258,23 @@ def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFram
 def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures: Callable | None = None) -> DataFrame:
     """Symbols and bits of every row of ``texts`` (row, doc_id, text, slot, and bigint columns to carry) under the model (slot, code, bits).
 
+    ``model`` is a saved table and is deleted once its sorted shards are written.
+
     ``side`` names the carried columns and then the rows of ``figures(data, bounds)``. Rows whose slot has no model have nothing scored.
     """
     largest = model.groupBy("slot").count().agg(F.max("count").alias("n")).first()["n"] or 1
     shards = max(SHARDS, 1 << (-(-largest // SHARD_GRAMS) - 1).bit_length())
     parts = model.groupBy((F.col("code") % shards).cast("int").alias("shard"), "slot").agg(F.sort_array(F.collect_list(F.struct("code", "bits"))).alias("m"))
     parts = c.saved(parts.select("shard", "slot", F.col("m.code").alias("keys"), F.col("m.bits").alias("values")), "shards")
+    c.discard(model)
     # a leading language holds most rows of every shard: its rows are dealt over salts, the shard's part of the model is copied to each
     salts = -(-c.partitions(texts.sparkSession) // shards)
-    packed = _packed(texts, shards, figures).withColumn("salt", (F.crc32("rows") % salts).cast("int"))
-    copies = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = packed.join(copies, ["shard", "slot", "salt"], "left")
+    fields = [f.split()[0] for f in PACK_SCHEMA.split(", ")][2:]
+    packed = _packed(texts, shards, figures).withColumns({"salt": (F.crc32("rows") % salts).cast("int"), "keys": F.lit(None).cast("array<bigint>"), "values": F.lit(None).cast("array<double>")})
+    copies = parts.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), **{x: F.lit(None).cast("binary") for x in fields}})
+    # a part of the model stands once, ahead of the rows that it scores, not beside each of them
+    group = ["shard", "slot", "salt"]
+    met = packed.unionByName(copies).repartition(max(c.partitions(texts.sparkSession), shards), *group).sortWithinPartitions(*group, F.col("keys").isNull())
     schema = ", ".join([SUM_SCHEMA, *(f"{x} bigint" for x in side)])
     columns = [f.split()[0] for f in schema.split(", ")]
 
@@ -276,24 +282,29 @@ def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures:
         import zstandard
 
         open_ = zstandard.ZstdDecompressor().decompress
+        now = keys = values = None
         for batch in batches:
             for r in range(batch.num_rows):
-                shard, slot = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                rows, ids, more, ends, names, places, counts = (np.frombuffer(open_(batch.column(k)[r].as_py()), t) for k, t in zip(range(2, 9), KINDS))
+                shard, slot, salt = (batch.column(k)[r].as_py() for k in range(3))
+                if now != (shard, slot, salt):
+                    now, keys, values = (shard, slot, salt), None, None
+                if batch.column(10)[r].is_valid:
+                    keys, values = (batch.column(k)[r].values.to_numpy().copy() for k in (10, 11))
+                    continue
+                rows, ids, more, ends, names, places, counts = (np.frombuffer(open_(batch.column(k)[r].as_py()), t) for k, t in zip(range(3, 10), KINDS))
                 text = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
                 symbols = np.bincount(text, counts, len(rows)).astype(np.int64)
                 bits, scored = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
-                keys = batch.column(9)[r]
-                if keys.is_valid and len(places):
-                    at = np.searchsorted(keys.values.to_numpy(), names)
-                    bits = np.bincount(text, counts * batch.column(10)[r].values.to_numpy()[at][places], len(rows))
+                if keys is not None and len(places):
+                    at = np.searchsorted(keys, names)
+                    bits = np.bincount(text, counts * values[at][places], len(rows))
                     scored = symbols
                 more = more.reshape(len(side), len(rows)) if shard == 0 else np.zeros((len(side), len(rows)), np.int64)
                 use = np.ones(len(rows), bool) if shard == 0 else symbols > 0
                 arrays = [pa.array(rows[use]), pa.array(ids[use], mask=ids[use] == np.iinfo(np.int64).min), *(pa.array(x[use]) for x in (np.full(len(rows), slot), symbols, scored, bits, *more))]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    got = met.select("shard", "slot", "rows", "ids", "side", "ends", "names", "places", "counts", "keys", "values").mapInArrow(sums, schema)
+    got = met.select(*group, *fields, "keys", "values").mapInArrow(sums, schema)
     return got.groupBy("row", "doc_id", "slot").agg(*[F.sum(x).alias(x) for x in ("symbols", "scored", "bits", *side)])
 
 

@@ -82,6 +82,7 @@ def scores(docs: DataFrame) -> DataFrame:
     counts = c.saved(g.ngram_counts(numbered.select("text", "slot", F.lit(False).alias("flag"))), "ngrams")
     other = counts.select(F.col("slot").bitwiseXOR(F.lit(1)).alias("slot"), "code", "n")
     model = c.saved(g.probabilities(counts.select("slot", "code"), other), "probabilities")
+    c.discard(counts)
     return c.saved(g.text_bits(numbered, model, ["key_a", "key_b", *STATS], base_stats), "perplexity")
 
 
