@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from math import factorial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -22,12 +24,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import PCA, HashingTF, IDF, NGram, Normalizer, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskstream.functions import scoring, text
-from deskstream.operators import evaluate
+from deskstream.operators import evaluate, windows
 from deskstream.operators.windows import ranked_in_group
 from deskstream.schemas import CATEGORIES, PRIORITIES
 from deskstream.session import cut_lineage
@@ -396,15 +397,70 @@ def platt_calibrate(scores: DataFrame, y: str = "y", p: str = "p") -> tuple[floa
     return float(model.coefficients[0]), float(model.intercept)
 
 
-def isotonic_calibrate(scores: DataFrame, y: str = "y", p: str = "p") -> Transformer:
-    """A monotone step-wise fit; scores beyond the fitted range are clipped to it.
+STEP_SCHEMA = "_b INT, lo DOUBLE, hi DOUBLE, w BIGINT, s DOUBLE"
+MERGED = 16
 
-    Equal scores are merged before the fit, so its input is the number of distinct scores.
+
+def pool_adjacent(blocks: list[tuple[float, float, int, float]]) -> list[tuple[float, float, int, float]]:
+    """Neighbouring blocks (lo, hi, weight, sum of labels) put together until their means rise."""
+    out: list[tuple[float, float, int, float]] = []
+    for block in blocks:
+        out.append(block)
+        while len(out) > 1 and out[-2][3] * out[-1][2] >= out[-1][3] * out[-2][2]:
+            (lo, _, w, s), (_, hi, v, t) = out[-2], out[-1]
+            out[-2:] = [(lo, hi, w + v, s + t)]
+    return out
+
+
+def isotonic_steps(scores: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """(lo, hi, w, s): the blocks of the isotonic fit, by pooling inside score ranges and then across them.
+
+    The fit is the lower hull of running sums, and the hull of hulls is the hull: ranges are pooled by
+    themselves, and ``MERGED`` neighbours of what is left at a time, so that no task sees all scores.
     """
-    merged = scores.groupBy(F.col(p).alias("score")).agg(
-        F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-    )
-    return IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(merged)
+    values = scores.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("v"))
+    counted = values.agg(F.count(F.lit(1)).alias("w"), F.sum(F.col(y).cast("double")).alias("s"))
+    bounds = windows.quantile_bounds(counted, "v")
+    blocks = counted.select(windows.bucket_by_bounds(F.col("v"), bounds).cast("int").alias("_b"), F.col("v").alias("lo"), F.col("v").alias("hi"), "w", "s")
+
+    def pool(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("lo", "hi", "w", "s"))))
+        columns = list(zip(*pool_adjacent(rows)))
+        return pa.table([pa.array([table.column("_b")[0].as_py()] * len(columns[0]), pa.int32()), *(pa.array(x) for x in columns)], names=["_b", "lo", "hi", "w", "s"])
+
+    ranges = len(bounds) + 1
+    while True:
+        blocks = blocks.groupBy("_b").applyInArrow(pool, STEP_SCHEMA)
+        if ranges <= 1:
+            return blocks.drop("_b")
+        blocks = blocks.withColumn("_b", F.floor(F.col("_b") / MERGED).cast("int"))
+        ranges = -(-ranges // MERGED)
+
+
+@dataclass(frozen=True)
+class IsotonicModel:
+    """A rising step function with straight lines between steps; scores beyond the fitted range are clipped to it."""
+
+    x: list[float]
+    y: list[float]
+
+    def calibrated(self, p: Column) -> Column:
+        x, y = np.array(self.x), np.array(self.y)
+
+        def at(values: pd.Series) -> pd.Series:
+            return pd.Series(np.where(values.isna(), np.nan, np.interp(values, x, y)) if len(x) else np.nan, index=values.index)
+
+        return F.pandas_udf(at, "double")(p)
+
+
+def isotonic_calibrate(scores: DataFrame, y: str = "y", p: str = "p") -> IsotonicModel:
+    """The fit of ``isotonic_steps``; only its steps, far fewer than the scores, come to the driver."""
+    x, means = [], []
+    for r in isotonic_steps(scores, y, p).orderBy("lo").collect():
+        for edge in dict.fromkeys((r["lo"], r["hi"])):
+            x.append(edge)
+            means.append(r["s"] / r["w"])
+    return IsotonicModel(x, means)
 
 
 # --------------------------------------------------------------- explanations
@@ -418,8 +474,8 @@ def linear_contributions(rows: DataFrame, coefficients: list[float], names: list
 
 
 def _flatten_tree(root) -> dict[str, np.ndarray]:
-    """A fitted tree as arrays: feature (-1 at a leaf), threshold, children, prediction."""
-    feature, threshold, left, right, value = [], [], [], [], []
+    """A fitted tree as arrays: feature (-1 at a leaf), threshold, children, prediction, training rows."""
+    feature, threshold, left, right, value, cover = [], [], [], [], [], []
 
     def add(node) -> int:
         at = len(feature)
@@ -428,6 +484,7 @@ def _flatten_tree(root) -> dict[str, np.ndarray]:
         left.append(-1)
         right.append(-1)
         value.append(float(node.prediction()))
+        cover.append(float(node.impurityStats().count()))
         if node.subtreeDepth() > 0:
             split = node.split()
             feature[at], threshold[at] = int(split.featureIndex()), float(split.threshold())
@@ -437,12 +494,55 @@ def _flatten_tree(root) -> dict[str, np.ndarray]:
     add(root)
     return {
         "feature": np.array(feature), "threshold": np.array(threshold), "left": np.array(left),
-        "right": np.array(right), "value": np.array(value),
+        "right": np.array(right), "value": np.array(value), "cover": np.array(cover),
     }
 
 
+def _leaf_paths(tree: dict[str, np.ndarray]) -> list[tuple[float, dict[int, tuple[float, float, float]]]]:
+    """Every leaf's value, and for each feature above it: its bounds (low, high] and the share of training rows that its splits let through."""
+    out = []
+
+    def walk(at: int, path: dict[int, tuple[float, float, float]]) -> None:
+        feature = int(tree["feature"][at])
+        if feature < 0:
+            out.append((float(tree["value"][at]), path))
+            return
+        low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
+        cut = float(tree["threshold"][at])
+        for child, bounds in ((tree["left"][at], (low, min(high, cut))), (tree["right"][at], (max(low, cut), high))):
+            walk(child, {**path, feature: (*bounds, share * tree["cover"][child] / tree["cover"][at])})
+
+    walk(0, {})
+    return out
+
+
+def shapley_values(tree: dict[str, np.ndarray], data: np.ndarray) -> np.ndarray:
+    """(rows, features): exact Shapley values of one tree.
+
+    With the features of a set S known and the others averaged over the training rows, a leaf is worth its value
+    times one factor for each feature on its path: whether the row passes that feature's splits if it is in S, else
+    the share of training rows that pass. So the sum over sets is a polynomial in the size of S, built
+    feature by feature for all rows at once; sizes are weighted as Shapley values weigh them.
+    """
+    out = np.zeros(data.shape)
+    for value, path in _leaf_paths(tree):
+        d = len(path)
+        passes = np.array([(data[:, f] > low) & (data[:, f] <= high) for f, (low, high, _) in path.items()], float).reshape(d, len(data))
+        shares = np.array([share for _, _, share in path.values()])
+        weight = [factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)]
+        for i, f in enumerate(path):
+            sizes = np.zeros((d, len(data)))
+            sizes[0] = 1.0
+            for j in range(d):
+                if j != i:
+                    sizes[1:] = sizes[1:] * shares[j] + sizes[:-1] * passes[j]
+                    sizes[0] *= shares[j]
+            out[:, f] += value * (passes[i] - shares[i]) * np.dot(weight, sizes)
+    return out
+
+
 def tree_contributions(rows: DataFrame, model: GBTClassificationModel, names: list[str], x: str = "x") -> DataFrame:
-    """Add ``contributions`` of a boosted model: the change of the node value along each path.
+    """Add ``contributions`` of a boosted model: the exact Shapley values of its trees (``shapley_values``).
 
     The contributions and the root values add up to the margin of the model.
     """
@@ -451,20 +551,7 @@ def tree_contributions(rows: DataFrame, model: GBTClassificationModel, names: li
     @F.pandas_udf("array<double>")
     def walk(values: pd.Series) -> pd.Series:
         data = np.stack(values.to_numpy()) if len(values) else np.zeros((0, len(names)))
-        out = np.zeros((len(data), len(names)))
-        for weight, tree in trees:
-            at = np.zeros(len(data), dtype=int)
-            while True:
-                feature = tree["feature"][at]
-                inner = np.flatnonzero(feature >= 0)
-                if not len(inner):
-                    break
-                here, split = at[inner], feature[inner]
-                goes_left = data[inner, split] <= tree["threshold"][here]
-                nxt = np.where(goes_left, tree["left"][here], tree["right"][here])
-                out[inner, split] += weight * (tree["value"][nxt] - tree["value"][here])
-                at[inner] = nxt
-        return pd.Series(list(out))
+        return pd.Series(list(sum((weight * shapley_values(tree, data) for weight, tree in trees), np.zeros(data.shape))))
 
     listed = F.array(*[F.lit(n) for n in names])
     zipped = F.zip_with(listed, walk(F.col(x)), lambda n, v: F.struct(n.alias("feature"), v.alias("value")))

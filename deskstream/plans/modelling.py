@@ -172,16 +172,29 @@ def _escalation(i: Inputs) -> DataFrame:
 
 @query("platt_calibrate")
 def _platt(i: Inputs) -> DataFrame:
-    slope, intercept = op.platt_calibrate(i.scored)
-    calibrated = i.scored.select("y", scoring.logit_platt(F.col("p"), slope, intercept).alias("p"))
+    """Fitted on the validation half, judged on the test half."""
+    slope, intercept = op.platt_calibrate(i.scored.where("id % 2 = 0"))
+    calibrated = i.scored.where("id % 2 = 1").select("y", scoring.logit_platt(F.col("p"), slope, intercept).alias("p"))
     return evaluate.ece_binary(calibrated).join(evaluate.brier(calibrated))  # one row each
 
 
-@query("isotonic_calibrate")
+@query(
+    "isotonic_calibrate",
+    bind("scored")
+    + """, v AS (SELECT p, count(*) AS w, sum(y) AS s, row_number() OVER (ORDER BY p) AS k FROM scored WHERE id % 2 = 0 GROUP BY p),
+run AS (SELECT p, k, w, s, sum(w) OVER (ORDER BY k) AS cw, sum(s) OVER (ORDER BY k) AS cs FROM v),
+means AS (SELECT a.k AS i, b.k AS j, (b.cs - a.cs + a.s)::DOUBLE / (b.cw - a.cw + a.w)::DOUBLE AS m FROM run a JOIN run b ON b.k >= a.k),
+least AS (SELECT i, j, min(m) OVER (PARTITION BY i ORDER BY j DESC) AS m FROM means),
+fit AS (SELECT r.p AS x, f.f AS f FROM (SELECT j AS k, max(m) AS f FROM least GROUP BY 1) f JOIN run r USING (k)),
+near AS (SELECT t.id, t.y, t.p, (SELECT max(x) FROM fit WHERE x <= t.p) AS x0, (SELECT min(x) FROM fit WHERE x >= t.p) AS x1 FROM scored t WHERE id % 2 = 1)
+SELECT n.id, n.y, CASE WHEN x0 IS NULL THEN b.f WHEN x1 IS NULL OR x0 = x1 THEN a.f ELSE a.f + (b.f - a.f) * (n.p - x0) / (x1 - x0) END AS p
+FROM near n LEFT JOIN fit a ON a.x = n.x0 LEFT JOIN fit b ON b.x = n.x1""",
+    num="p",
+)
 def _isotonic(i: Inputs) -> DataFrame:
-    model = op.isotonic_calibrate(i.scored)
-    calibrated = model.transform(i.scored.withColumnRenamed("p", "score")).select("id", "y", F.col("prediction").alias("p"))
-    return evaluate.reliability_curve(calibrated)
+    """Fitted on the validation half, applied to the test half."""
+    model = op.isotonic_calibrate(i.scored.where("id % 2 = 0"))
+    return i.scored.where("id % 2 = 1").select("id", "y", model.calibrated(F.col("p")).alias("p"))
 
 
 @query("contributions")

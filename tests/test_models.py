@@ -43,3 +43,53 @@ def test_platt_recovers_a_logistic_curve(spark):
 def test_character_grams_of_a_short_word(spark):
     got = spark.range(1).select(modelling.char_grams(F.lit("ab")).alias("g")).first()["g"]
     assert got == [" ab", "ab ", " ab "]
+
+
+def test_tree_contributions_are_shapley_values(spark):
+    """Against the definition: all subsets of features, unknown ones averaged over the training rows of each split."""
+    from itertools import combinations
+    from math import factorial
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)).round(1)
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] > 0).astype(float)
+    frame = spark.createDataFrame([(k, v.tolist(), float(t)) for k, (v, t) in enumerate(zip(x, y))], "id BIGINT, x ARRAY<DOUBLE>, y DOUBLE").withColumn("features", array_to_vector("x"))
+    model = GBTClassifier(labelCol="y", maxIter=3, maxDepth=4, seed=1).fit(frame)
+    trees = [(w, modelling._flatten_tree(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees)]
+
+    def value(tree, row, known, at=0):
+        f = tree["feature"][at]
+        if f < 0:
+            return tree["value"][at]
+        left, right = tree["left"][at], tree["right"][at]
+        if f in known:
+            return value(tree, row, known, left if row[f] <= tree["threshold"][at] else right)
+        return (tree["cover"][left] * value(tree, row, known, left) + tree["cover"][right] * value(tree, row, known, right)) / tree["cover"][at]
+
+    out = modelling.tree_contributions(frame.where("id < 12"), model, list("abcd"))
+    for r in out.collect():
+        for i, c in enumerate(r["contributions"]):
+            others = [j for j in range(4) if j != i]
+            want = sum(
+                w * factorial(k) * factorial(3 - k) / factorial(4) * (value(t, r["x"], {*s, i}) - value(t, r["x"], set(s)))
+                for w, t in trees for k in range(4) for s in combinations(others, k)
+            )
+            assert c["value"] == pytest.approx(want, abs=1e-9)
+
+
+def test_isotonic_steps_equal_the_sequential_fit(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    for n, digits in ((1, 3), (3000, 3), (500, 1)):
+        p = np.round(rng.random(n), digits)
+        y = (rng.random(n) < 0.2 + 0.5 * p).astype(int)
+        frame = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "y INT, p DOUBLE").repartition(4)
+        values = np.unique(p)
+        want = modelling.pool_adjacent([(v, v, int((p == v).sum()), float(y[p == v].sum())) for v in values])
+        got = [tuple(r) for r in modelling.isotonic_steps(frame).orderBy("lo").collect()]
+        assert got == want
+    means = [s / w for _, _, w, s in want]
+    assert all(a < b for a, b in zip(means, means[1:]))
+    model = modelling.isotonic_calibrate(frame)
+    asked = spark.createDataFrame([(-1.0,), (2.0,), (0.55,), (None,)], "p DOUBLE").select(model.calibrated(F.col("p")).alias("q")).collect()
+    assert asked[0]["q"] == means[0] and asked[1]["q"] == means[-1] and means[0] <= asked[2]["q"] <= means[-1]
+    assert modelling.isotonic_calibrate(frame.where("p > 5")).x == []
