@@ -86,3 +86,36 @@ def test_known_key_is_a_duplicate_of_the_stored_ticket(spark):
 def test_last_tier_wins(spark):
     out = ingest.customer_upsert(rows(spark, ("a", "s", "b", "api", "PRO", "C1"), ("b", "s", "b", "api", "FREE", "C1")))
     assert [(r["external_id"], r["tier"]) for r in out.collect()] == [("C1", "FREE")]
+
+
+def test_csv_is_split_inside_quotes(spark, tmp_path):
+    """Ranges of a few bytes cut quoted fields and records: the records and their numbers stay those of one pass."""
+    import csv
+    import random
+
+    rng = random.Random(3)
+    fields = ["plain", "with, comma", 'a "quoted" word', "two\nlines", 'mixed "x"\n\n", y\nend', "", "é\U0001f600 \n"]
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n" if name == "a" else "\r\n")
+            writer.writerow(["subject", "body", "product", "customer_tier", "external_id"])
+            for k in range(300):
+                writer.writerow([rng.choice(fields) or "s", rng.choice(fields) + f" b{k}", "api", "PRO", f"{name}{k}"])
+                if k % 50 == 0:
+                    out.write("\n" if name == "a" else "\r\n")
+    want = {}
+    for name in ("a", "b"):
+        with open(tmp_path / f"{name}.csv", newline="") as rows:
+            want[name] = [r for r in csv.reader(rows) if r][1:]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("97b", "1k", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            good, bad = files.ingest_csv(spark, str(tmp_path), None)
+            got = sorted((r["file"].rsplit("/", 1)[1][0], r["record"], r["external_id"], r["subject"], r["body"]) for r in good.collect())
+            assert bad.count() == 0
+            tidy = lambda x: x.replace("\r\n", "\n").strip()
+            assert [g[:3] for g in got] == [(n, k + 1, r[4]) for n in ("a", "b") for k, r in enumerate(want[n])]
+            assert [tuple(map(tidy, g[3:])) for g in got] == [(tidy(r[0]), tidy(r[1])) for n in ("a", "b") for r in want[n]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
