@@ -23,7 +23,7 @@ ORDER = 4
 BASE = 55_103  # a prime whose fourth power is below 2^63: code points up to the Hangul syllables stand for themselves, later ones for their remainder
 SHARDS = 16
 SHARD_GRAMS = 1 << 16
-TASK_GRAMS = 1 << 21
+TASK_GRAMS = 1 << 20
 ROWS = 1 << 16
 LEAD = np.array([0x7F, 0x7F, 0x1F, 0x0F, 0x07])
 
@@ -203,7 +203,20 @@ def probabilities(needed: DataFrame, known: DataFrame) -> DataFrame:
 PACK_SCHEMA = "shard int, slot bigint, rows binary, ids binary, side binary, ends binary, names binary, places binary, counts binary"
 SUM_SCHEMA = "row bigint, doc_id bigint, slot bigint, symbols bigint, scored bigint, bits double"
 KINDS = (np.int64, np.int64, np.int64, np.int32, np.int64, np.uint32, np.uint32)
-PACK_BYTES = 4 << 20
+RISING = (3, 4, 5)  # ends, names and places rise, the places of a document at a time: their steps are small
+
+
+def _planes(x: np.ndarray, kind: type, rising: bool) -> bytes:
+    """The bytes of ``x`` (or of its steps) by significance, which packs better than number by number."""
+    x = np.diff(x, prepend=x.dtype.type(0)).astype(kind) if rising else x.astype(kind)
+    return np.ascontiguousarray(x.reshape(-1)).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type, rising: bool) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if rising else x
+PACK_BYTES = 2 << 20
 
 
 def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFrame:
@@ -247,7 +260,7 @@ def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFram
                             row[low:high][docs_in], ids[low:high][docs_in], side[:, docs_in] if s == 0 else side[:, :0],
                             ends, names[opens[s] : opens[s + 1]], cell[part] - opens[s], counts[part],
                         )
-                        out.append((s, k, *(pack(x.astype(t).tobytes()) for x, t in zip(fields, KINDS))))
+                        out.append((s, k, *(pack(_planes(np.asarray(x), t, n in RISING)) for n, (x, t) in enumerate(zip(fields, KINDS)))))
                 columns = list(zip(*out))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[f.split()[0] for f in PACK_SCHEMA.split(", ")])
@@ -291,7 +304,7 @@ def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures:
                 if batch.column(10)[r].is_valid:
                     keys, values = (batch.column(k)[r].values.to_numpy().copy() for k in (10, 11))
                     continue
-                rows, ids, more, ends, names, places, counts = (np.frombuffer(open_(batch.column(k)[r].as_py()), t) for k, t in zip(range(3, 10), KINDS))
+                rows, ids, more, ends, names, places, counts = (_numbers(open_(batch.column(n + 3)[r].as_py()), t, n in RISING) for n, t in enumerate(KINDS))
                 text = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
                 symbols = np.bincount(text, counts, len(rows)).astype(np.int64)
                 bits, scored = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
