@@ -171,7 +171,10 @@ def _dataset(i: Inputs) -> DataFrame:
     return i.tickets.join(extra, "id").withColumn("ticket_uid", F.concat(F.lit("T"), F.col("id").cast("string")))
 
 
-@query("export_history_csv")
+@query(
+    "export_history_csv",
+    bind("labelled") + " SELECT concat('T', ticket_id) AS ticket_uid, product, root_cause_id FROM labelled WHERE split IN ('train', 'val')",
+)
 def _export_history(i: Inputs) -> DataFrame:
     """Written as CSV and read back by uid."""
     path = scratch_path(i.spark, "history")
@@ -180,7 +183,10 @@ def _export_history(i: Inputs) -> DataFrame:
     return i.spark.read.schema(schema).option("header", True).csv(path).select("ticket_uid", "product", "root_cause_id")
 
 
-@query("export_stream_csv")
+@query(
+    "export_stream_csv",
+    bind("labelled") + " SELECT concat('T', ticket_id) AS ticket_uid, strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS created_at, product FROM labelled WHERE split = 'test'",
+)
 def _export_stream(i: Inputs) -> DataFrame:
     path = scratch_path(i.spark, "stream")
     op.write_csv(op.export_stream(_dataset(i)), path)

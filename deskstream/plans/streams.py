@@ -159,7 +159,14 @@ def _enrich(i: Inputs) -> DataFrame:
     return op.drain(enriched.select("id", "sla_due_at", "cluster_size", "is_incident"), "enrich")
 
 
-@query("stream_ticket_x_feedback")
+@query(
+    "stream_ticket_x_feedback",
+    bind("tickets", "feedback")
+    + """, m AS (SELECT least((SELECT max(created_at) FROM tickets), (SELECT max(created_at) FROM feedback)) - INTERVAL 10 MINUTE AS mark),
+j AS (SELECT t.id AS ticket_id, t.status, t.created_at, f.action FROM tickets t LEFT JOIN feedback f ON f.ticket_id = t.id AND f.created_at >= t.created_at AND f.created_at <= t.created_at + INTERVAL 1 DAY)
+SELECT ticket_id, action, CASE WHEN action IN ('APPROVE', 'EDIT_APPROVE') THEN 'RESOLVED' WHEN action = 'REJECT' THEN 'IN_REVIEW' ELSE status END AS status
+FROM j, m WHERE action IS NOT NULL OR created_at + INTERVAL 1 DAY < mark""",
+)
 def _feedback(i: Inputs) -> DataFrame:
     s = StreamInputs(i)
     joined = op.stream_ticket_x_feedback(s.tickets, s.feedback)
