@@ -73,7 +73,7 @@ NAMES_NEUTRAL = frozenset("reader readers user list item box block wrap wrapper
 NAME_AGAINST, ROLE_COST, UNSEEN_COST, FORM_COST = 12.0, 14.0, 60.0, 8.0
 ARTICLE = 3.0  # evidence from here on marks the element as the page's article
 OUTSIDE = 4.0
-NEAR, NEAR_DECAY, SIBLING, COUSIN = 1.1, 0.75, 0.7, 0.35
+NEAR, NEAR_DECAY, SIBLING, COUSIN = 0.8, 0.75, 0.4, 0.2
 SCALE = 1000
 
 SCHEMA = "page_id bigint, url string, text string"
