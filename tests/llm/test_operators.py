@@ -289,6 +289,43 @@ def test_passages(spark, docs, none, real):
     assert passages(none).count() == without_repeats(none).count() == 0
 
 
+def test_changed_passages(spark):
+    """Passages of 50 to 70 words with one changed word, at every place, between unlike neighbours."""
+    from deskstream.llm.passages import passages
+
+    texts, size = [], {}
+    for n in range(50, 71, 5):
+        base = prose(5000 + n, n).split()
+        texts.append((n, " ".join([prose(6000 + n, 40), *base, prose(7000 + n, 40)])))
+        for k in range(n):
+            i = 1000 * n + k
+            texts.append((i, " ".join([prose(2 * i, 40), *base[:k], f"changed{i}", *base[k + 1 :], prose(2 * i + 1, 40)])))
+            size[i] = n
+    spoken = {i: WORD.findall(t) for i, t in texts}
+    got = {}
+    for r in passages(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)).collect():
+        x, y = (shingles(" ".join(spoken[r[i]][r[s] : r[e]])) for i, s, e in (("doc_id", "start_word", "end_word"), ("first_doc_id", "first_start_word", "first_end_word")))
+        assert r["end_word"] - r["start_word"] >= 50 and 4 * len(x & y) >= 3 * len(x | y)
+        got.setdefault(r["doc_id"], set()).update(range(r["start_word"], r["end_word"]))
+    found = {i: len(got[i] & set(range(40, 40 + size[i]))) for i in got if i in size}
+    assert len(found) >= 0.98 * len(size)
+    assert sum(found.values()) >= 0.95 * sum(size.values())
+    assert all(len(got[i]) - found[i] <= 6 for i in found)
+
+
+def test_verified_stretches():
+    """Adjacent passages that stand apart, and in another order, in the other text."""
+    from deskstream.llm.passages import verified
+
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 62, 600).astype(np.uint64)
+    b = np.concatenate([a[400:470], a[50:120], rng.integers(0, 1 << 62, 30).astype(np.uint64)])
+    found = verified(b, np.arange(len(b)), a, np.arange(len(a)))
+    assert {(0, 70, 400, 470), (70, 140, 50, 120)} <= set(found)
+    assert all(end <= 140 for _, end, _, _ in found)
+    assert verified(rng.integers(0, 1 << 62, 100).astype(np.uint64), np.arange(100), a, np.arange(600)) == []
+
+
 def test_compact_windows():
     from deskstream.llm import common as c
     from deskstream.llm import passages as m
