@@ -4,9 +4,13 @@
 read in constant time, spans compare by it, and the longest common extension of two positions is
 found by binary search. A fingerprint keeps the length, the whole hash and the prefix and suffix
 hashes at fixed lengths of a slow geometric grid, so two fingerprints alone tell (by binary search
-over the grid) how long a beginning and an end two texts share. Likeness is that share of the
-longer text: 1 for equal texts, about a half when the second half was replaced, 0 without a common
-beginning or end.
+over the grid) how long a beginning and an end two texts share. It also keeps hash and length of the
+spans between anchors: places whose own short span has a smaller hash than all places up to ``REACH``
+before and behind. Anchors depend on the characters around them alone, so equal stretches have equal
+spans wherever they stand. Likeness is the share of the longer text that common beginning and end, or
+common spans (as often as both texts have them), cover, whichever is more: 1 for equal texts only, near
+1 for a text that was shifted by a character, about a half when the second half was replaced, near 0 for
+unrelated texts. A fingerprint holds about one span for each 2 * ``REACH`` characters, an eighth of a text.
 
 Defined results: null and empty texts are the empty text; two empty texts are alike (1). Documents
 stand in descending order of doc_id (missing ids last); documents of one id stand in the order of
@@ -28,7 +32,10 @@ from deskstream.llm import common as c
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 747796405)
-_powers: list[np.ndarray] = [np.ones(1, np.int64), np.ones(1, np.int64)]
+STEPS = BASES + tuple(pow(base, -1, prime) for base, prime in zip(BASES, PRIMES))
+ANCHOR = 8
+REACH = 64
+_powers: list[np.ndarray] = [np.ones(1, np.int64) for _ in STEPS]
 
 
 def _grid() -> np.ndarray:
@@ -44,9 +51,10 @@ GRID = _grid()
 
 
 def _power(which: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of a base, or (from 2 on) of its inverse."""
     have = _powers[which]
     while len(have) < n:
-        prime, base = PRIMES[which], BASES[which]
+        prime, base = PRIMES[which % 2], STEPS[which]
         step = pow(base, len(have), prime)
         have = np.concatenate([have, have * step % prime])
         _powers[which] = have
@@ -74,6 +82,28 @@ class Prefixes:
         a, b = (s[lengths].astype(np.uint64) for s in self.sums)
         return (a << np.uint64(31)) | b
 
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of many spans, both primes in one number, equal for equal spans wherever they stand."""
+        a, b = (
+            ((s[ends] - s[starts]) % prime * _power(k + 2, self.n + 1)[starts] % prime).astype(np.uint64)
+            for k, (s, prime) in enumerate(zip(self.sums, PRIMES))
+        )
+        return (a << np.uint64(31)) | b
+
+    def anchors(self, width: int = ANCHOR, reach: int = REACH) -> np.ndarray:
+        """Places whose span of ``width`` has a smaller hash than those up to ``reach`` before and not a greater one than those behind."""
+        if self.n < width + 2 * reach:
+            return np.zeros(0, np.int64)
+        starts = np.arange(self.n - width + 1)
+        low = local = c.mix(self.spans(starts, starts + width))
+        span = 1
+        while span * 2 <= reach:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        low = np.minimum(low[: len(low) - (reach - span)], low[reach - span :])  # the least of ``reach`` places from each on
+        at = np.arange(reach, len(local) - reach)
+        return at[(local[at] < low[at - reach]) & (local[at] <= low[at + 1])]
+
     def span(self, start: int, length: int) -> tuple[int, ...]:
         """The span's hash, shifted to a common power so that equal spans agree wherever they stand."""
         return tuple(
@@ -94,13 +124,15 @@ class Prefixes:
 
 
 def fingerprint(points: np.ndarray) -> str:
-    """Length, whole hash, prefix hashes and suffix hashes on the grid, as text."""
+    """Length, whole hash, prefix hashes and suffix hashes on the grid, hashes and lengths of the spans between anchors, as text."""
     n = len(points)
     lengths = GRID[: np.searchsorted(GRID, n, "right")]
     ahead, behind = Prefixes(points), Prefixes(points[::-1])
     whole = int(ahead.prefix(np.array([n]))[0])
     short = [(h % np.uint64(0xFFFFFFFB)).astype(">u4").tobytes().hex() for h in (ahead.prefix(lengths), behind.prefix(lengths))]
-    return f"{n}:{whole:016x}:{short[0]}:{short[1]}"
+    cuts = np.concatenate([[0], ahead.anchors(), [n]])
+    spans = (ahead.spans(cuts[:-1], cuts[1:]) % np.uint64(0xFFFFFFFB)) << np.uint64(32) | np.diff(cuts).astype(np.uint64)
+    return f"{n}:{whole:016x}:{short[0]}:{short[1]}:{spans.astype('>u8').tobytes().hex()}"
 
 
 def _shared(a: str, b: str, longest: int) -> int:
@@ -115,14 +147,21 @@ def _shared(a: str, b: str, longest: int) -> int:
     return min(int(GRID[low - 1]), longest) if low else 0
 
 
+def _common(a: str, b: str) -> int:
+    """Characters in the spans that two texts share, each as often as both have it."""
+    (x, n), (y, m) = (np.unique(np.frombuffer(bytes.fromhex(v), ">u8").astype(np.uint64), return_counts=True) for v in (a, b))
+    same, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    return int(((same & np.uint64(0xFFFFFFFF)).astype(np.int64) * np.minimum(n[i], m[j])).sum())
+
+
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text that the common beginning and end cover; 1 only for equal texts."""
+    """Share of the longer text that the common beginning and end, or the common spans, cover; 1 only for equal texts."""
     if a == b:
         return 1.0
-    (n, _, ahead, behind), (m, _, ahead2, behind2) = a.split(":"), b.split(":")
+    (n, _, ahead, behind, spans), (m, _, ahead2, behind2, spans2) = a.split(":"), b.split(":")
     shortest, longest = min(int(n), int(m)), max(int(n), int(m))
     shared = _shared(ahead, ahead2, shortest) + _shared(behind, behind2, shortest)
-    return min(shared, shortest) / (longest + 1)
+    return min(max(shared, _common(spans, spans2)), shortest) / (longest + 1)
 
 
 def edited(text: str, following: str) -> str:

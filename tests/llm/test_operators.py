@@ -505,6 +505,34 @@ def test_prefix_hashes():
     assert likeness(fingerprint(code_points("abc")), fingerprint(code_points("xyz"))) == 0.0
 
 
+def test_anchored_spans():
+    from deskstream.llm.fingerprint import Prefixes, code_points, fingerprint, likeness
+
+    def alike(x, y):
+        return likeness(fingerprint(code_points(x)), fingerprint(code_points(y)))
+
+    rng = random.Random(11)
+    base, other = prose(71, 700), prose(72, 700)
+    assert alike("x" + base, base) > 0.9 and alike(base + "é😀", "😀" + base) > 0.9
+    at = len(base) // 2
+    assert alike("2024 " + base[:at] + " one more word " + base[at:] + " end", base) > 0.85
+    assert alike(base[at:] + " " + base[:at], base) > 0.85  # halves exchanged
+    assert 0.4 < alike(base[:at] + other[:at], base) < 0.6 and alike(base, other) < 0.05
+    assert alike("x" * 1000, "x" * 1001) < 1 and alike("ab" * 500, "ba" * 500) < 1
+    for n in (0, 7, 136, 137, 2000):
+        text = "".join(rng.choice("abé😀") for _ in range(n))
+        x = Prefixes(code_points(text))
+        local = [text[i : i + 8] for i in range(max(0, n - 7))]
+        value = {s: Prefixes(code_points(s)) for s in set(local)}
+        from deskstream.llm import common as c
+
+        h = [int(c.mix(value[s].spans(np.array([0]), np.array([8])))[0]) for s in local]
+        want = [i for i in range(64, len(h) - 64) if h[i] < min(h[i - 64 : i]) and h[i] <= min(h[i + 1 : i + 65])]
+        assert x.anchors().tolist() == want
+        starts = np.arange(n)
+        assert all(x.spans(starts, starts + 1) == [Prefixes(code_points(s)).prefix(np.array([1]))[0] for s in text])
+
+
 # queries and pipeline
 
 
