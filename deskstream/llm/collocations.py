@@ -56,21 +56,6 @@ def _zstd():
     return zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
-def _pack(x: np.ndarray, pack) -> bytes:
-    """The bytes of ``x`` by significance, each plane packed on its own: random planes stay as they are, even ones vanish."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
-    packed = [pack(np.ascontiguousarray(plane)) for plane in planes]
-    return np.array([len(packed), *map(len, packed)], np.uint32).tobytes() + b"".join(packed)
-
-
-def _unpack(data: bytes, unpack) -> np.ndarray:
-    """What ``_pack`` was given, as unsigned numbers of its size."""
-    size = int.from_bytes(data[:4], "little")
-    ends = np.cumsum([4 * (size + 1), *np.frombuffer(data, np.uint32, size, 4)]).tolist()
-    planes = [np.frombuffer(unpack(data[low:high]), np.uint8) for low, high in zip(ends, ends[1:])]
-    return np.ascontiguousarray(np.array(planes).T).reshape(-1).view(f"u{size}")
-
-
 def body_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower-cased words of all texts, each followed by a space or, at the end of a piece, a line feed; and the words of each text."""
     starts, ends, first = c.word_spans(data, bounds, WORD)
@@ -164,7 +149,7 @@ def _packed(texts: DataFrame, parts: int) -> DataFrame:
                 for part in np.flatnonzero(np.diff(bounds)).tolist():
                     cut = slice(bounds[part], bounds[part + 1])
                     prints = np.diff((key[cut] & c.U64(0xFFFFFFFF)).astype(np.int64), prepend=0).astype(np.uint32)
-                    packed = (_pack(x, pack) for x in (prints, counts[cut].astype(np.uint32), places[cut].astype(kind)))
+                    packed = (c.pack_numbers(x, pack) for x in (prints, counts[cut].astype(np.uint32), places[cut].astype(kind)))
                     for column, value in zip(columns, (part, block, *packed)):
                         column.append(value)
                 kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
@@ -210,7 +195,7 @@ def survivors(packed: DataFrame, parts: int, least: int) -> DataFrame:
     """Counts and places of the n-grams that a partition's summary keeps, by block."""
 
     def judged(rows: list[tuple], unpack, pack) -> pa.RecordBatch:
-        read = lambda data: _unpack(data, unpack)
+        read = lambda data: c.unpack_numbers(data, unpack)
         prints = lambda data: np.cumsum(read(data), dtype=np.uint32)
         mass = sum(int(read(counts).sum(dtype=np.int64)) for _, _, counts, _ in rows)
         found = MisraGries(mass // least + 1)
@@ -225,7 +210,7 @@ def survivors(packed: DataFrame, parts: int, least: int) -> DataFrame:
             if good.any():
                 places = read(places)[good].astype(np.uint64)
                 order = np.argsort(places)  # in the order of their places, whose steps are small
-                out.append((block, _pack(counts[good][order], pack), _pack(np.diff(places[order], prepend=np.uint64(0)), pack)))
+                out.append((block, c.pack_numbers(counts[good][order], pack), c.pack_numbers(np.diff(places[order], prepend=np.uint64(0)), pack)))
         columns = list(zip(*out)) or [(), (), ()]
         kinds = (pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["block", "counts", "places"])
@@ -262,7 +247,7 @@ def exact_counts(texts: DataFrame, found: DataFrame, least: int) -> DataFrame:
                     starts = np.concatenate([[0], ends[:-1] + 1])
                     langs, opens = pa.array(names, pa.string()), np.cumsum(sizes)
                     continue
-                counts, places = _unpack(counts, unpack), np.cumsum(_unpack(places, unpack)).astype(np.int64)
+                counts, places = c.unpack_numbers(counts, unpack), np.cumsum(c.unpack_numbers(places, unpack)).astype(np.int64)
                 first, more = np.divmod(places, LONGEST)
                 size = ends[first + more] - starts[first]
                 to = np.concatenate([[0], np.cumsum(size)])

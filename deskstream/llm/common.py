@@ -7,6 +7,7 @@ memory of a task depends on its longest text, not on its number of rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import reduce
 
@@ -51,6 +52,29 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def pack_numbers(x: np.ndarray, pack) -> bytes:
+    """The bytes of ``x`` by significance, each plane packed on its own: random planes stay as they are, even ones vanish."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+    packed = [pack(np.ascontiguousarray(plane)) for plane in planes]
+    return np.array([len(packed), *map(len, packed)], np.uint32).tobytes() + b"".join(packed)
+
+
+def unpack_numbers(data: bytes, unpack) -> np.ndarray:
+    """What ``pack_numbers`` was given, as unsigned numbers of its size."""
+    size = int.from_bytes(data[:4], "little")
+    ends = np.cumsum([4 * (size + 1), *np.frombuffer(data, np.uint32, size, 4)]).tolist()
+    planes = [np.frombuffer(unpack(data[low:high]), np.uint8) for low, high in zip(ends, ends[1:])]
+    return np.ascontiguousarray(np.array(planes).T).reshape(-1).view(f"u{size}")
+
+
+def release() -> None:
+    """Free memory of a Python worker goes back to its machine, instead of staying with the idle worker while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,6 +24,7 @@ BASE = 55_103  # a prime whose fourth power is below 2^63: code points up to the
 SHARDS = 16
 SHARD_GRAMS = 1 << 16
 TASK_GRAMS = 1 << 20
+PACK_BYTES = 2 << 20
 ROWS = 1 << 16
 LEAD = np.array([0x7F, 0x7F, 0x1F, 0x0F, 0x07])
 
@@ -162,6 +163,8 @@ def ngram_counts(texts: DataFrame) -> DataFrame:
                         yield from out(table)
                         table, held = {}, 0
         yield from out(table)
+        table = {}
+        c.release()
 
     parts = texts.select("text", "slot", "flag").mapInArrow(run, COUNT_SCHEMA)
     return parts.groupBy("slot", "code").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted"))
@@ -206,17 +209,16 @@ KINDS = (np.int64, np.int64, np.int64, np.int32, np.int64, np.uint32, np.uint32)
 RISING = (3, 4, 5)  # ends, names and places rise, the places of a document at a time: their steps are small
 
 
-def _planes(x: np.ndarray, kind: type, rising: bool) -> bytes:
-    """The bytes of ``x`` (or of its steps) by significance, which packs better than number by number."""
-    x = np.diff(x, prepend=x.dtype.type(0)).astype(kind) if rising else x.astype(kind)
-    return np.ascontiguousarray(x.reshape(-1)).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes()
+def _put(x: np.ndarray, kind: type, rising: bool, pack) -> bytes:
+    x = x.reshape(-1)
+    return c.pack_numbers(np.diff(x, prepend=x.dtype.type(0)).astype(kind) if rising else x.astype(kind), pack)
 
 
-def _numbers(data: bytes, kind: type, rising: bool) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    x = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).reshape(-1).view(kind)
+def _got(data: bytes, kind: type, rising: bool, unpack) -> np.ndarray:
+    x = c.unpack_numbers(data, unpack).view(kind)
     return np.cumsum(x, dtype=kind) if rising else x
-PACK_BYTES = 2 << 20
+
+
 
 
 def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFrame:
@@ -260,10 +262,11 @@ def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFram
                             row[low:high][docs_in], ids[low:high][docs_in], side[:, docs_in] if s == 0 else side[:, :0],
                             ends, names[opens[s] : opens[s + 1]], cell[part] - opens[s], counts[part],
                         )
-                        out.append((s, k, *(pack(_planes(np.asarray(x), t, n in RISING)) for n, (x, t) in enumerate(zip(fields, KINDS)))))
+                        out.append((s, k, *(_put(np.asarray(x), t, n in RISING, pack) for n, (x, t) in enumerate(zip(fields, KINDS)))))
                 columns = list(zip(*out))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[f.split()[0] for f in PACK_SCHEMA.split(", ")])
+        c.release()
 
     return texts.mapInArrow(run, PACK_SCHEMA)
 
@@ -304,7 +307,7 @@ def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures:
                 if batch.column(10)[r].is_valid:
                     keys, values = (batch.column(k)[r].values.to_numpy().copy() for k in (10, 11))
                     continue
-                rows, ids, more, ends, names, places, counts = (_numbers(open_(batch.column(n + 3)[r].as_py()), t, n in RISING) for n, t in enumerate(KINDS))
+                rows, ids, more, ends, names, places, counts = (_got(batch.column(n + 3)[r].as_py(), t, n in RISING, open_) for n, t in enumerate(KINDS))
                 text = np.repeat(np.arange(len(rows)), np.diff(ends, prepend=0))
                 symbols = np.bincount(text, counts, len(rows)).astype(np.int64)
                 bits, scored = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
@@ -316,6 +319,7 @@ def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures:
                 use = np.ones(len(rows), bool) if shard == 0 else symbols > 0
                 arrays = [pa.array(rows[use]), pa.array(ids[use], mask=ids[use] == np.iinfo(np.int64).min), *(pa.array(x[use]) for x in (np.full(len(rows), slot), symbols, scored, bits, *more))]
                 yield pa.RecordBatch.from_arrays(arrays, names=columns)
+        c.release()
 
     got = met.select(*group, *fields, "keys", "values").mapInArrow(sums, schema)
     return got.groupBy("row", "doc_id", "slot").agg(*[F.sum(x).alias(x) for x in ("symbols", "scored", "bits", *side)])
