@@ -209,18 +209,26 @@ KINDS = (np.int64, np.int64, np.int64, np.int32, np.int64, np.uint32, np.uint32)
 RISING = (3, 4, 5)  # ends, names and places rise, the places of a document at a time: their steps are small
 
 
+APART = 4096
+
+
 def _put(x: np.ndarray, kind: type, rising: bool, pack) -> bytes:
+    """The bytes of ``x`` (or of its steps) by significance: in one pack, or plane by plane where that is smaller, as it can be for long arrays only."""
     x = x.reshape(-1)
-    return c.pack_numbers(np.diff(x, prepend=x.dtype.type(0)).astype(kind) if rising else x.astype(kind), pack)
+    x = np.diff(x, prepend=x.dtype.type(0)).astype(kind) if rising else x.astype(kind)
+    whole = b"\0" + pack(np.ascontiguousarray(x).view(np.uint8).reshape(x.size, x.itemsize).T.tobytes())
+    return whole if x.size < APART else min(whole, b"\1" + c.pack_numbers(x, pack), key=len)
 
 
 def _got(data: bytes, kind: type, rising: bool, unpack) -> np.ndarray:
-    x = c.unpack_numbers(data, unpack).view(kind)
+    if data[0]:
+        x = c.unpack_numbers(data[1:], unpack).view(kind)
+    else:
+        planes = np.frombuffer(unpack(data[1:]), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        x = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
     return np.cumsum(x, dtype=kind) if rising else x
 
 
-
-
 def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFrame:
     """Documents' n-gram counts by shard and slot, many documents to a row.
 

@@ -195,6 +195,20 @@ def test_quality(docs, none, real):
     assert quality(none).count() == passing(none).count() == 0
 
 
+def test_packed_numbers():
+    import zstandard
+
+    from deskstream.llm import ngrams as g
+
+    pack, unpack = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 300, 50_000):
+        for kind in (np.int32, np.int64, np.uint32):
+            for x in (rng.integers(0, 3, n), rng.integers(0, 1 << 20, n), np.sort(rng.integers(0, 1 << 30, n)), np.full(n, 7)):
+                for rising in (False, True):
+                    assert np.array_equal(g._got(g._put(x, kind, rising, pack), kind, rising, unpack), x.astype(kind))
+
+
 def test_kneser_ney_sums_to_one():
     from deskstream.llm import ngrams as g
 
