@@ -56,8 +56,12 @@ def text_codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         codes *= BASE
         codes += points[k : k + n]
     sizes = np.diff(bounds)
-    owner = np.repeat(np.arange(len(sizes)), sizes)[:n]
-    inside = np.arange(n) + ORDER <= bounds[1:][owner]
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[:n]
+    inside = np.ones(n + ORDER - 1, bool)
+    for k in range(1, ORDER):  # the last places of every text begin no n-gram
+        last = bounds[1:] - k
+        inside[last[last >= bounds[:-1]]] = False
+    inside = inside[:n]
     return codes[inside], owner[inside]
 
 
@@ -252,15 +256,22 @@ def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFram
                 mine, out = slot[low:high], []
                 for k, at in _by_slot(mine, owner):
                     docs_in = np.flatnonzero(mine == k)
-                    place, names = pd.factorize(codes[at])
+                    place, names = pd.factorize(codes if len(at) == len(codes) else codes[at])
                     shard = names % shards
                     order = np.lexsort((names, shard))
                     rank = np.empty(len(order), np.int64)
                     rank[order] = np.arange(len(order))
                     names = names[order]
                     opens = np.searchsorted(shard[order], np.arange(shards + 1))
-                    cells = (shard[place] * len(mine) + owner[at]) * max(len(names), 1) + rank[place]
-                    cells, counts = np.unique(cells, return_counts=True)
+                    cells = shard[place]  # one array in place of several: a task holds some of this size
+                    cells *= len(mine)
+                    cells += owner[at]
+                    cells *= max(len(names), 1)
+                    cells += rank[place]
+                    del place
+                    cells.sort()
+                    fresh = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])[: len(cells)])
+                    cells, counts = cells[fresh], np.diff(fresh, append=len(cells))
                     group, cell = np.divmod(cells, max(len(names), 1))
                     first = np.searchsorted(group, np.arange(shards + 1) * len(mine))
                     for s in np.flatnonzero((np.diff(first) > 0) | (np.arange(shards) == 0)).tolist():
