@@ -557,7 +557,7 @@ def test_oracles(spark, name):
 
 def test_all_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark):
