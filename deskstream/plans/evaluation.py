@@ -308,8 +308,8 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(abs(v), 9) DESC, featu
 def _top(i: Inputs) -> DataFrame:
     from deskstream.functions.scoring import top_factors
 
-    rounded = F.transform("contributions", lambda c: F.struct(c["feature"].alias("feature"), F.round(c["value"], 9).alias("value")))
-    return _contributions(i).select("id", F.posexplode(top_factors(rounded)).alias("pos", "f")).select("id", "pos", "f.*")
+    factors = top_factors(F.col("contributions"), digits=9)
+    return _contributions(i).select("id", F.posexplode(factors).alias("pos", "f")).select("id", "pos", "f.*")
 
 
 @query(

@@ -121,3 +121,12 @@ def test_top_factors_merge_embedding_parts(spark):
     frame = spark.createDataFrame(rows, "c ARRAY<STRUCT<feature: STRING, value: DOUBLE>>")
     out = frame.select(scoring.top_factors(F.col("c"), 2).alias("t")).first()["t"]
     assert [f["feature"] for f in out] == ["text_embedding", "tier"] and abs(out[0]["contribution"] - 0.7) < 1e-12
+
+
+def test_top_factors_round_only_the_merged_value(spark):
+    rows = [([("emb_pc0", 0.1000000004), ("tier", 0.2000000006), ("emb_pc1", 0.1000000004)],), ([("tier", 0.3), ("hour", -0.1 * 3)],)]
+    frame = spark.createDataFrame(rows, "c ARRAY<STRUCT<feature: STRING, value: DOUBLE>>")
+    first, second = [r["t"] for r in frame.select(scoring.top_factors(F.col("c"), 2, digits=9).alias("t")).collect()]
+    assert [f["feature"] for f in first] == ["text_embedding", "tier"]  # equal to nine places, so by name
+    assert abs(first[0]["contribution"] - 0.2000000008) < 1e-13
+    assert [f["feature"] for f in second] == ["hour", "tier"]
