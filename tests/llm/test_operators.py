@@ -362,6 +362,20 @@ def test_compact_windows():
 # op6
 
 
+def test_trusted_text_is_whole(spark):
+    from deskstream.llm.classifier import flagged, trusted_ids
+
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "CAST(id % 4 <> 0 AS INT) AS quality")
+    good = trusted_ids(labels.unionByName(labels.limit(50)))
+    assert good.count() == 22_500
+    odd = spark.createDataFrame([(x,) for x in (None, -1, -32_768, -40_000, 1 << 40, 32_768, 32_769, 65_536)], "doc_id bigint")
+    docs, ids = labels.select("doc_id").unionByName(odd), good.unionByName(spark.createDataFrame([(-1,), (-32_768,), (1 << 40,)], "doc_id bigint")).distinct()
+    want = {x for x in range(30_000) if x % 4} | {-1, -32_768, 1 << 40}
+    for most in (100, 1):  # by bitmaps, by a join
+        got = flagged(docs, ids, "good", most).collect()
+        assert len(got) == 30_008 and {r["doc_id"] for r in got if r["good"]} == want
+
+
 def test_classifier(spark, docs, none, real):
     from deskstream.llm import ngrams as g
     from deskstream.llm.classifier import classify
