@@ -239,3 +239,39 @@ def test_results_do_not_depend_on_the_number_of_partitions(spark, inputs):
         seen.add(tuple(sorted(map(tuple, rows))))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(seen) == 1
+
+
+def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
+    """Many tickets with few vectors: only classes of equal vectors meet in products, and no link is lost or added."""
+    rng = np.random.default_rng(5)
+    rows = []
+    vectors = rng.normal(size=(6, 4))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    for n in range(300):
+        at = T0 + dt.timedelta(minutes=int(rng.integers(0, 400)) * 20)
+        rows.append((n, None if n % 50 == 0 else "ab"[n % 2], at, vectors[n % 6].tolist()))
+    frame = spark.createDataFrame(rows, "ticket_id BIGINT, product STRING, created_at TIMESTAMP, embedding ARRAY<DOUBLE>")
+    seen = []
+    join = blockjoin.block_join
+
+    def spied(left, right, *args, **more):
+        if "embedding" in left.columns:
+            seen.append((left.count(), right.count()))
+        return join(left, right, *args, **more)
+
+    monkeypatch.setattr(blockjoin, "block_join", spied)
+    want = {}
+    for i, p, at, v in rows:
+        near = [
+            (-round(float(np.dot(v, w)), 9), j) for j, q, t, w in rows
+            if q == p and at - dt.timedelta(hours=20) <= t and (t, j) < (at, i) and round(float(np.dot(v, w)), 9) >= 0.5
+        ]
+        want[i] = sorted(near)
+    for block in (7, 4096):
+        got = blockjoin.duplicate_pairs(frame, 0.5, 20.0, 5, block).collect()
+        assert sorted((r[0], r[1]) for r in got) == sorted((i, j) for i, near in want.items() for _, j in near[:5])
+        every = blockjoin.duplicate_pairs(frame, 0.5, 20.0, None, block).collect()
+        assert sorted((r[0], r[1]) for r in every) == sorted((i, j) for i, near in want.items() for _, j in near)
+        counts = {r[0]: r[1] for r in blockjoin.similar_recent(frame, 0.5, 20.0, None, block).collect()}
+        assert counts == {i: len(near) for i, near in want.items()}
+    assert len(seen) == 6 and all(right < 200 for _, right in seen)  # 300 tickets
