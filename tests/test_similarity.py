@@ -123,6 +123,43 @@ def test_replay_equals_brute_force(spark, burst):
     assert {(r["alarm_at"], tuple(r["members"])) for r in got.collect()} == want and want
 
 
+def test_suppression_tells_every_burst_and_which_alarms_are_raised(spark):
+    rows = tickets(n=200, seed=12)
+    frame = spark.createDataFrame(rows, VECTORS)
+    linked = blockjoin.duplicate_links(frame, 0.7, 3.0)
+    components = graph.connected_components(linked)
+    base = frame.select(F.col("ticket_id").alias("id"), "created_at", "customer_id")
+    got = graph.alarm_suppression(base, linked, components, 3.0, 90, 5, 3).collect()
+    free = graph.incident_replay(base, linked, components, 3.0, 90, 5, 3, cover=1.5)
+    assert {(r["ticket_id"], r["live"]) for r in got} == {(r["ticket_id"], len(r["members"])) for r in free.collect()}
+    raised = graph.incident_replay(base, linked, components, 3.0, 90, 5, 3)
+    assert {r["ticket_id"] for r in got if r["kept"]} == {r["ticket_id"] for r in raised.collect()} and len(got) > sum(r["kept"] for r in got)
+
+
+def test_late_joins_cost_no_pass_over_the_live_members():
+    """A large cluster takes up older single tickets one by one: the work grows with the tickets, not with both."""
+    import time
+
+    def seconds(n):
+        state, start = graph._Replay(10**9, 10**9, 3, 2, 0.5), time.perf_counter()
+        for k in range(n):
+            state.arrive(k, k, str(k), [])
+        for k in range(n):
+            state.arrive(n + k, n + k, "a", [n + k - 1] if k else [])
+        for k in range(n):
+            state.arrive(2 * n + k, 2 * n + k, "b", [2 * n + k - 1, k])
+        return time.perf_counter() - start
+
+    assert seconds(8000) < 30 * max(seconds(1000), 0.01)
+
+
+def test_contraction_works_on_whole_tasks(spark):
+    edges = spark.range(1, 40_001, 1, 1).select(F.col("id").alias("u"), F.lit(0).cast("bigint").alias("v"))
+    twice = edges.unionByName(edges).coalesce(1)
+    assert graph._contract(twice).count() == 40_000
+    assert graph._contract(twice, room=7_000).distinct().count() == 40_000
+
+
 def test_six_reports_make_one_incident_and_the_seventh_reuses_the_draft(spark):
     topic = [1.0, 0.0, 0.0]
     rows = [(k, "api", T0 + dt.timedelta(minutes=k), k, topic) for k in range(1, 7)]
