@@ -11,9 +11,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deskstream.functions import scoring
 from deskstream.operators import ingest, windows
@@ -37,43 +39,58 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-class _Earliest(StatefulProcessor):
-    """Per external id: the earliest row so far, held until the watermark passes it, then remembered as sent."""
+NEVER = 2**62
+BUCKETS = 512  # keys that share their state as one table; a constant, because the state outlives the cluster it began on
 
-    def __init__(self, remember_ms: int):
-        self.remember_ms = remember_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", "at BIGINT, arrival BIGINT, id BIGINT, payload STRING")
-        self.sent = handle.getValueState("sent", "at BIGINT")
+def bucket(key: str) -> Column:
+    """The bucket of a key. Python is called once per bucket and micro-batch, not once per key."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        if self.sent.get() is None:
-            first = frame.sort_values(["at", "arrival", "id"]).iloc[0]
-            new = (int(first["at"]), int(first["arrival"]), int(first["id"]), first["payload"])
-            held = self.best.get()
-            if held is None or new[:3] < tuple(held[:3]):
-                for timer in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(timer)
-                self.best.update(new)
-                self.handle.registerTimer(new[0] // 1000)
-        yield pd.DataFrame({"payload": pd.Series(dtype="object")})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = self.best.get()
-        if held is None:  # the time to remember is over
-            self.sent.clear()
-            yield pd.DataFrame({"payload": pd.Series(dtype="object")})
-            return
-        self.best.clear()
-        self.sent.update((held[0],))
-        self.handle.registerTimer(held[0] // 1000 + self.remember_ms)
-        yield pd.DataFrame({"payload": [held[3]]})
+def _packed(table: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(table, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
-    def close(self) -> None:
-        pass
+
+def _unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(data)).read_pandas()
+
+
+def _store(state: GroupState, tables: tuple[pd.DataFrame, ...], due_ms: int) -> None:
+    """Keep the tables of a bucket and call again when the watermark has passed ``due_ms``."""
+    if not any(len(t) for t in tables):
+        state.remove()
+        return
+    state.update(tuple(_packed(t) for t in tables))
+    if due_ms < NEVER:
+        state.setTimeoutTimestamp(max(due_ms, state.getCurrentWatermarkMs()))
+
+
+def _earliest(remember_ms: int) -> Callable:
+    """Per external id: the earliest row so far, held until the watermark passes it, then remembered as sent."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, sent = (_unpacked(x) for x in state.get) if state.exists else (None, pd.DataFrame({"external_id": pd.Series(dtype="object"), "at": pd.Series(dtype="int64")}))
+        rows = [] if held is None else [held]
+        if not state.hasTimedOut:
+            fresh = pd.concat(list(frames))[["external_id", "at", "arrival", "id", "payload"]]
+            rows.append(fresh[~fresh["external_id"].isin(sent["external_id"])])
+        best = pd.concat(rows).sort_values(["at", "arrival", "id"], kind="stable").drop_duplicates("external_id")
+        mark = state.getCurrentWatermarkMs()
+        done = best["at"] // 1000 < mark
+        out = best.loc[done, "payload"]
+        sent = pd.concat([sent[sent["at"] // 1000 + remember_ms >= mark], best.loc[done, ["external_id", "at"]]])
+        best = best[~done]
+        ends = [best["at"].min() // 1000] if len(best) else []
+        ends += [sent["at"].min() // 1000 + remember_ms] if len(sent) else []
+        _store(state, (best, sent), int(min(ends, default=NEVER)))
+        yield pd.DataFrame({"payload": out})
+
+    return step
 
 
 def stream_ingest(rows: DataFrame, watermark: str = "10 minutes", remember_days: float = 60) -> DataFrame:
@@ -90,8 +107,8 @@ def stream_ingest(rows: DataFrame, watermark: str = "10 minutes", remember_days:
         "external_id", "created_at", F.unix_micros("created_at").alias("at"), F.col("arrival").cast("bigint").alias("arrival"), F.col("id").cast("bigint").alias("id"),
         F.to_json(F.struct(*valid.columns), form).alias("payload"),
     )
-    held = packed.withWatermark("created_at", watermark).groupBy("external_id").transformWithStateInPandas(
-        statefulProcessor=_Earliest(int(remember_days * 86_400_000)), outputStructType="payload STRING", outputMode="Append", timeMode="EventTime"
+    held = packed.withWatermark("created_at", watermark).withColumn("bucket", bucket("external_id")).groupBy("bucket").applyInPandasWithState(
+        _earliest(int(remember_days * 86_400_000)), "payload STRING", "held BINARY, sent BINARY", "append", GroupStateTimeout.EventTimeTimeout
     )
     once = held.select(F.from_json("payload", valid.schema, form).alias("row")).select("row.*")
     return once.unionByName(valid.where(F.col("external_id").isNull()))
@@ -278,39 +295,27 @@ def stream_close_clusters(events: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ deadlines as timers
-class _Deadline(StatefulProcessor):
-    """Per ticket: a timer at the deadline, taken back by a response."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "due BIGINT")
-        self.answered = handle.getValueState("answered", "at BIGINT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        answers = frame.loc[frame["kind"] == "response", "at"]
-        if len(answers):
-            first = int(answers.min())
-            held = self.answered.get()
-            self.answered.update((min(first, held[0]) if held else first,))
-        dues = frame.loc[frame["kind"] == "ticket", "due"].dropna()
-        if len(dues):
-            self.due.update((int(dues.min()),))
-        due, answer = self.due.get(), self.answered.get()
-        if due:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            if answer is None or answer[0] > due[0]:
-                self.handle.registerTimer(due[0] // 1000)
-        yield pd.DataFrame({"ticket_id": pd.Series(dtype="int64"), "breached_at": pd.Series(dtype="datetime64[us]")})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = self.due.get()
-        self.due.clear()
-        yield pd.DataFrame({"ticket_id": [key[0]], "breached_at": pd.to_datetime([due[0]], unit="us")})
-
-    def close(self) -> None:
-        pass
+def _deadlines(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Per ticket: a time-out at the deadline, taken back by a response."""
+    if state.exists:
+        known = _unpacked(state.get[0])
+    else:
+        known = pd.DataFrame({c: pd.Series(dtype="int64") for c in ("ticket_id", "due", "answer")})
+    known = known.set_index("ticket_id")
+    if not state.hasTimedOut:
+        frame = pd.concat(list(frames))
+        due = frame[frame["kind"] == "ticket"].groupby("ticket_id")["due"].min()
+        answer = frame[frame["kind"] == "response"].groupby("ticket_id")["at"].min()
+        known = known.reindex(known.index.union(due.index).union(answer.index), fill_value=NEVER)
+        known.loc[due.index, "due"] = due
+        known.loc[answer.index, "answer"] = np.minimum(known.loc[answer.index, "answer"], answer)
+    known.loc[known["answer"] <= known["due"], "due"] = NEVER
+    late = (known["due"] != NEVER) & (known["due"] // 1000 < state.getCurrentWatermarkMs())
+    out = pd.DataFrame({"ticket_id": known.index[late].astype("int64"), "breached_at": pd.to_datetime(known.loc[late, "due"].to_numpy(), unit="us").astype("datetime64[us]")})
+    known.loc[late, "due"] = NEVER
+    known = known[(known["due"] != NEVER) | (known["answer"] != NEVER)]
+    _store(state, (known.rename_axis("ticket_id").reset_index(),), int(known["due"].min()) // 1000 if (known["due"] != NEVER).any() else NEVER)
+    yield out
 
 
 def stream_sla_breach(tickets: DataFrame, responses: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -325,14 +330,11 @@ def stream_sla_breach(tickets: DataFrame, responses: DataFrame, watermark: str =
     )
     answered = responses.select(
         "ticket_id", F.lit("response").alias("kind"), F.col("responded_at").alias("event_at"),
-        F.unix_micros("responded_at").alias("at"), F.lit(None).cast("bigint").alias("due"),
+        F.unix_micros("responded_at").alias("at"), F.lit(NEVER).cast("bigint").alias("due"),
     )
     log = asked.unionByName(answered).withWatermark("event_at", watermark)
-    return log.groupBy("ticket_id").transformWithStateInPandas(
-        statefulProcessor=_Deadline(),
-        outputStructType="ticket_id BIGINT, breached_at TIMESTAMP",
-        outputMode="Append",
-        timeMode="EventTime",
+    return log.withColumn("bucket", bucket("ticket_id")).groupBy("bucket").applyInPandasWithState(
+        _deadlines, "ticket_id BIGINT, breached_at TIMESTAMP", "known BINARY", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from deskstream.operators import blockjoin, graph
@@ -105,3 +107,27 @@ def test_latency_and_bursts_do_not_depend_on_the_cut(spark, inputs):
     rows = tickets.collect()
     seconds = [[(r[end] - r["ingested_at"]).total_seconds() for r in rows if r[end] is not None] for end in ("triaged_at", "drafted_at")]
     assert np.allclose(next(iter(seen)), [np.percentile(x, p) for x in seconds for p in (50, 95)])
+
+
+def test_deadlines_share_a_bucket_and_do_not_depend_on_the_cut(spark, inputs, monkeypatch):
+    tickets = inputs.tickets.select("id", "created_at", "sla_due_at", "first_response_at").limit(400)
+    tickets = spark.createDataFrame(tickets.collect(), tickets.schema)
+    rows = tickets.collect()
+    mark = max(max(r["created_at"], r["first_response_at"] or r["created_at"]) for r in rows)
+    open_ = [r for r in rows if r["sla_due_at"] and (r["first_response_at"] is None or r["first_response_at"] > r["sla_due_at"])]
+    calls = spark.sparkContext.accumulator(0)
+    step = op._deadlines
+
+    def counted(key, frames, state):
+        calls.add(1)
+        yield from step(key, frames, state)
+
+    monkeypatch.setattr(op, "_deadlines", counted)
+    monkeypatch.setattr(op, "BUCKETS", 4)
+    for batches, wait in ((1, dt.timedelta(0)), (5, dt.timedelta(days=1))):
+        stream = _cut(spark, tickets, batches)
+        answers = stream.where("first_response_at IS NOT NULL").selectExpr("id AS ticket_id", "first_response_at AS responded_at")
+        out = op.drain(op.stream_sla_breach(stream, answers, f"{wait.days} days"), "cut-breach").collect()
+        want = sorted((r["id"], r["sla_due_at"]) for r in open_ if r["sla_due_at"] < mark - wait)
+        assert sorted((r["ticket_id"], r["breached_at"]) for r in out) == want and want
+    assert 0 < calls.value < 100  # a call per bucket and micro-batch, not per ticket
