@@ -6,8 +6,11 @@ closes is emitted once (append mode).
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heapify
 
 import numpy as np
 import pandas as pd
@@ -19,6 +22,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from deskstream.functions import scoring
 from deskstream.operators import ingest, windows
+from deskstream.operators.graph import _Live
 from deskstream.schemas import DEFAULTS
 from deskstream.session import scratch_path
 
@@ -157,6 +161,107 @@ def stream_sessions(tickets: DataFrame, gap: str = "3 hours", keys: tuple[str, .
 CLUSTER_EVENTS = "event STRING, product STRING, cluster_id BIGINT, ticket_id BIGINT, at TIMESTAMP, size BIGINT"
 
 
+class _Window:
+    """Tickets of the look-back window by class of equal vectors, and the clusters they belong to.
+
+    Similarities are computed once per pair of classes, not per pair of tickets. The members of a class are kept
+    in the order of their ids, so the 20 best of a ticket are read off the classes it resembles, best first.
+    """
+
+    ROOM = 4_000_000  # similar classes remembered, beyond that they are computed anew
+
+    def __init__(self, tau: float):
+        self.tau = tau
+        self.rows: deque[tuple[int, int, str, int]] = deque()  # (number, at, who, class) in the order of arrival
+        self.ids: dict[int, int] = {}  # of the rows in the window, by number
+        self.label: dict[int, int] = {}
+        self.parent: dict[int, int] = {}
+        self.number = 0
+        self._reset(np.zeros((0, 0)))
+
+    def _reset(self, vectors: np.ndarray) -> None:
+        self.vectors, self.classes = vectors, len(vectors)
+        self.known = {v.tobytes(): k for k, v in enumerate(vectors)}
+        self.members: list[list[tuple[int, int]]] = [[] for _ in range(len(vectors))]
+        self.near: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        self.seen: Counter[int] = Counter()
+        self.held = 0
+
+    def _compact(self) -> None:
+        """Forget the classes that have no member left."""
+        live = [k for k in range(self.classes) if self.members[k]]
+        at = {k: n for n, k in enumerate(live)}
+        members = [self.members[k] for k in live]
+        self._reset(self.vectors[live])
+        self.members = members
+        self.rows = deque((n, t, w, at[k]) for n, t, w, k in self.rows)
+
+    def root(self, cluster: int) -> int:
+        while (up := self.parent.get(cluster, cluster)) != cluster:
+            self.parent[cluster] = self.parent.get(up, up)
+            cluster = up
+        return cluster
+
+    def add(self, ticket: int, at: int, who: str, vector: np.ndarray) -> tuple[int, int]:
+        """(number, class) of a new row."""
+        if self.classes > 2 * len(self.rows) + 1024:
+            self._compact()
+        key = vector.tobytes()
+        if key not in self.known:
+            if self.classes == len(self.vectors):
+                wider = np.zeros((2 * self.classes + 64, len(vector)))
+                if self.classes:
+                    wider[: self.classes] = self.vectors[: self.classes]
+                self.vectors = wider
+            self.vectors[self.classes] = vector
+            self.known[key] = self.classes
+            self.members.append([])
+            self.classes += 1
+        kind, number = self.known[key], self.number
+        self.number += 1
+        self.rows.append((number, at, who, kind))
+        self.ids[number] = ticket
+        insort(self.members[kind], (ticket, number))
+        return number, kind
+
+    def leave(self) -> tuple[int, int, str]:
+        """(number, at, who) of the oldest row, which leaves the window."""
+        number, at, who, kind = self.rows.popleft()
+        members = self.members[kind]
+        del members[bisect_left(members, (self.ids.pop(number), number))]
+        return number, at, who
+
+    def _similar(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Classes at or above ``tau`` and their similarities, best first; remembered from the second time on."""
+        upto, near, scores = self.near.get(kind, (0, np.zeros(0, np.int64), np.zeros(0)))
+        if upto < self.classes:
+            fresh = np.round(self.vectors[upto : self.classes] @ self.vectors[kind], 9)
+            found = np.flatnonzero(fresh >= self.tau)
+            near, scores = np.append(near, found + upto), np.append(scores, fresh[found])
+            order = np.argsort(-scores, kind="stable")
+            near, scores = near[order], scores[order]
+            self.seen[kind] += 1
+            if self.seen[kind] > 1:
+                self.held += len(found)
+                if self.held > self.ROOM:
+                    self.near, self.held = {}, len(near)
+                self.near[kind] = (self.classes, near, scores)
+        return near, scores
+
+    def best(self, number: int, kind: int, k: int = 20) -> list[int]:
+        """Numbers of the ``k`` most similar rows besides ``number``, ties by id."""
+        near, scores = self._similar(kind)
+        out: list[int] = []
+        at = 0
+        while at < len(near) and len(out) < k:
+            group, score = [], scores[at]
+            while at < len(near) and scores[at] == score:
+                group += self.members[near[at]][: k + 1]
+                at += 1
+            out += [n for _, n in sorted(group) if n != number][: k - len(out)]
+        return out
+
+
 class _ClusterState(StatefulProcessor):
     """Per product: the open vectors of the look-back window and the live clusters.
 
@@ -177,57 +282,86 @@ class _ClusterState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         product = key[0]
         frame = pd.concat(list(rows)).sort_values(["at", "id"], kind="stable")
-        held = list(self.recent.get())
-        ids, ats, whos, labels = ([r[k] for r in held] for k in range(4))
-        vectors = [np.asarray(r[4], dtype=np.float64) for r in held]
-        info = {k[0]: list(v) for k, v in self.clusters.iterator()}
-        before = set(info)
+        before = {k[0]: list(v) for k, v in self.clusters.iterator()}
+        info = dict(before)
+        held, live = _Window(self.tau), {}  # members of a cluster that is not flagged yet, for the burst rule
+        for ticket, at, who, cluster, vector in self.recent.get():
+            number, _ = held.add(ticket, at, who, np.asarray(vector, dtype=np.float64))
+            if cluster >= 0:
+                held.label[number] = cluster
+                self._watch(live, cluster, info, at, number, who)
         out: list[tuple] = []
-        for row in frame.itertuples(index=False):
-            at, vector = int(row.at), np.asarray(row.embedding, dtype=np.float64)
-            start = next((n for n, t in enumerate(ats) if t >= at - self.window), len(ats))
-            if start:
-                del ids[:start], ats[:start], whos[:start], labels[:start], vectors[:start]
-            ids.append(int(row.id))
-            ats.append(at)
-            whos.append(row.who)
-            labels.append(-1)
-            vectors.append(vector)
-            if len(ids) == 1:
+        for ticket, at, who, embedding in zip(frame["id"].tolist(), frame["at"].tolist(), frame["who"], frame["embedding"]):
+            while held.rows and held.rows[0][1] < at - self.window:
+                self._leave(held, live, at)
+            number, kind = held.add(ticket, at, who, np.asarray(embedding, dtype=np.float64))
+            order = held.best(number, kind)
+            if not order:
                 continue
-            scores = np.round(np.stack(vectors[:-1]) @ vector, 9)
-            near = np.flatnonzero(scores >= self.tau)
-            if not len(near):
-                continue
-            order = sorted(near, key=lambda n: (-scores[n], ids[n]))[:20]
-            joined = sorted({labels[n] for n in order if labels[n] >= 0})
-            members = [n for n in order if labels[n] < 0] + [len(ids) - 1]
-            target = min(joined + [ids[n] for n in members]) if not joined else joined[0]
+            joined = sorted({held.root(held.label[n]) for n in order if n in held.label})
+            members = [n for n in order if n not in held.label] + [number]
+            target = joined[0] if joined else min(held.ids[n] for n in members)
             size, flagged, _ = info.get(target, [0, False, at])
             for other in joined[1:]:
-                gone = info.pop(other)
+                gone = info.pop(other, [0, False, at])
                 size, flagged = size + gone[0], flagged or gone[1]
-                labels = [target if x == other else x for x in labels]
+                held.parent[other] = target
+                left, right = live.pop(target, None), live.pop(other, None)
+                if not flagged and (left or right):
+                    if left and right and len(left.members) < len(right.members):
+                        left, right = right, left
+                    if left and right:
+                        left.absorb(right)
+                    live[target] = left or right
                 out.append(("cluster.merged", product, other, target, at, gone[0]))
+            info[target] = [size, flagged, at]
+            arrived = {number: (at, who)}
+            if len(members) > 1:
+                wanted = set(members)
+                arrived |= {n: (t, w) for n, t, w, _ in held.rows if n in wanted}
             for n in members:
-                labels[n] = target
-                out.append(("ticket.linked", product, target, ids[n], at, 1))
+                held.label[n] = target
+                self._watch(live, target, info, arrived[n][0], n, arrived[n][1])
+                out.append(("ticket.linked", product, target, held.ids[n], at, 1))
             size += len(members)
-            live = {n for n in range(len(ids)) if labels[n] == target and ats[n] >= at - self.burst}
-            if not flagged and len(live) >= self.min_tickets and len({whos[n] for n in live}) >= self.min_customers:
-                flagged = True
-                out.append(("incident.detected", product, target, ids[-1], at, size))
+            if not flagged:
+                now = live[target]
+                now.expire(at - self.burst)
+                if len(now.members) >= self.min_tickets and len(now.who) >= self.min_customers:
+                    flagged = True
+                    del live[target]
+                    out.append(("incident.detected", product, target, ticket, at, size))
             info[target] = [size, flagged, at]
-            out.append(("cluster.updated", product, target, ids[-1], at, size))
-        self.recent.put([(i, t, w, c, v.astype(np.float32).tolist()) for i, t, w, c, v in zip(ids, ats, whos, labels, vectors)])
-        for gone in before - set(info):
+            out.append(("cluster.updated", product, target, ticket, at, size))
+        cluster_of = lambda n: held.root(held.label[n]) if n in held.label else -1
+        vectors = held.vectors.astype(np.float32)
+        self.recent.put([(held.ids[n], t, w, cluster_of(n), vectors[k].tolist()) for n, t, w, k in held.rows])
+        for gone in set(before) - set(info):
             self.clusters.removeKey((gone,))
         for cluster, value in info.items():
-            self.clusters.updateValue((cluster,), tuple(value))
+            if before.get(cluster) != value:
+                self.clusters.updateValue((cluster,), tuple(value))
         if info:
             self.handle.registerTimer((min(v[2] for v in info.values()) + self.idle) // 1000 + 1)
         yield self._frame(out)
 
+    @staticmethod
+    def _watch(live: dict[int, _Live], cluster: int, info: dict, at: int, number: int, who: str) -> None:
+        if cluster in info and info[cluster][1]:
+            return
+        if cluster in live:
+            live[cluster].absorb(_Live(at, number, who))
+        else:
+            live[cluster] = _Live(at, number, who)
+
+    def _leave(self, held: _Window, live: dict[int, _Live], now: int) -> None:
+        number, at, who = held.leave()
+        cluster = held.label.pop(number, None)
+        if cluster is not None and at >= now - self.burst and (watched := live.get(held.root(cluster))):
+            watched.members = [m for m in watched.members if m[1] != number]  # the window is shorter than the burst
+            heapify(watched.members)
+            watched.who = Counter(m[2] for m in watched.members)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         out, left = [], []

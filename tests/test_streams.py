@@ -131,3 +131,23 @@ def test_deadlines_share_a_bucket_and_do_not_depend_on_the_cut(spark, inputs, mo
         want = sorted((r["id"], r["sla_due_at"]) for r in open_ if r["sla_due_at"] < mark - wait)
         assert sorted((r["ticket_id"], r["breached_at"]) for r in out) == want and want
     assert 0 < calls.value < 100  # a call per bucket and micro-batch, not per ticket
+
+
+def test_best_of_the_window_are_read_off_the_classes():
+    """Equal to comparing with every ticket of the window, while a class is compared with another once."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    topics = rng.normal(size=(12, 8))
+    topics /= np.linalg.norm(topics, axis=1)[:, None]
+    held, rows = op._Window(0.2), []
+    for k in range(2500):
+        v = topics[rng.integers(12)] if k % 3 else rng.normal(size=8) / 3  # every third vector occurs once
+        number, kind = held.add((k * 7) % 2501, k, "c", v)
+        best = held.best(number, kind)
+        scores = [(-s, i, n) for n, i, s in ((n, i, round(float(w @ v), 9)) for n, i, w in rows) if s >= 0.2]
+        assert best == [n for _, _, n in sorted(scores)[:20]]
+        rows.append((number, (k * 7) % 2501, v))
+        if len(rows) > 150:
+            assert held.leave()[0] == rows.pop(0)[0]
+    assert held.classes <= 2 * 151 + 1025 and all(len(held.near[k][1]) <= held.classes for k in held.near)
