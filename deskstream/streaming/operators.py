@@ -124,6 +124,37 @@ def stream_volume(tickets: DataFrame, every: str = "1 minute", keys: tuple[str,
     return counted.agg(F.count(F.lit(1)).alias("tickets")).select(F.col("window.start").alias("window_start"), *keys, "tickets")
 
 
+class _LastSeen(StatefulProcessor):
+    """Per bucket of customers: how long before a slide with tickets the same customer had one, at most ``size``.
+
+    Slides arrive closed, so those of a later micro-batch are later. What is kept is the last slide of every
+    customer seen within ``size``.
+    """
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getListState("last", "who STRING, us BIGINT")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["who", "us"], kind="stable")
+        known = pd.DataFrame(list(self.last.get()), columns=["who", "us"]).set_index("who")["us"].astype("int64")
+        before = frame.groupby("who")["us"].shift().fillna(frame["who"].map(known))
+        frame["gap"] = (frame["us"] - before).fillna(self.size).clip(upper=self.size).astype("int64")
+        latest = frame.groupby("who")["us"].max()
+        latest = pd.concat([known[~known.index.isin(latest.index)], latest])
+        latest = latest[latest > timerValues.getCurrentWatermarkInMs() * 1000 - self.size]
+        if len(latest):
+            self.last.put(list(zip(latest.index.tolist(), latest.tolist())))
+        else:
+            self.last.clear()
+        yield frame.drop(columns=["bucket", "who", "us"])
+
+    def close(self) -> None:
+        pass
+
+
 def stream_burst(
     tickets: DataFrame,
     size: str = "60 minutes",
@@ -135,15 +166,28 @@ def stream_burst(
 ) -> DataFrame:
     """Sliding windows with enough tickets from enough customers, counted exactly.
 
-    A customer's tickets of a slide add up first, then its slides by window, then the customers: three
-    aggregations that the watermark closes one after the other. No customer set is kept whole, and a busy customer
-    is one row a slide. Tickets without a customer count as one each.
+    A customer's tickets of a slide add up first. A customer counts in a window at its first slide there: the one
+    whose distance from the customer's slide before is longer than that from the window's start. So slides add up
+    by key and distance, over all customers, before they are spread over the windows they lie in: what is spread
+    grows with the time covered, not with the tickets. Tickets without a customer count as one each.
     """
-    who = F.coalesce(F.col("customer_id").cast("string"), F.concat(F.lit("t"), F.col("id").cast("string"))).alias("who")
+    rocksdb_state(tickets)
+    who = F.coalesce(F.col("customer_id").cast("string"), F.concat(F.lit("t"), F.col("id").cast("string"))).alias("_who")
     timed = tickets.withWatermark("created_at", watermark)
     slides = timed.groupBy(F.window("created_at", slide).alias("w"), *keys, who).agg(F.count(F.lit(1)).alias("n"))
-    spread = slides.groupBy(F.window("w", size, slide).alias("w"), *keys, "who").agg(F.sum("n").alias("n"))
-    counted = spread.groupBy("w", *keys).agg(F.sum("n").alias("tickets"), F.count(F.lit(1)).alias("customers"))
+    named = slides.select(F.window_time("w").alias("at"), *keys, F.to_json(F.struct(*keys, "_who")).alias("who"), "n")
+    named = named.withColumns({"us": F.unix_micros("at"), "bucket": bucket("who")})
+    micros = tickets.sparkSession.sql(f"SELECT unix_micros(timestamp_seconds(0) + INTERVAL {size})").first()[0]
+    kinds = ", ".join(f"`{k}` {tickets.schema[k].dataType.simpleString()}" for k in keys)
+    apart = named.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=_LastSeen(micros), outputStructType=f"at TIMESTAMP, {kinds}, n BIGINT, gap BIGINT",
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="at",
+    )
+    added = apart.groupBy(F.window("at", slide).alias("w"), *keys, "gap").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("slides"))
+    spread = added.select(F.window_time("w").alias("at"), *keys, "gap", "n", "slides")
+    spread = spread.select(F.window("at", size, slide).alias("w"), "at", *keys, "gap", "n", "slides")
+    fresh = F.col("gap") > F.unix_micros("at") - F.unix_micros("w.start")
+    counted = spread.groupBy("w", *keys).agg(F.sum("n").alias("tickets"), F.sum(F.when(fresh, F.col("slides")).otherwise(0)).alias("customers"))
     return counted.where((F.col("tickets") >= min_tickets) & (F.col("customers") >= min_customers)).select(
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "tickets", "customers"
     )

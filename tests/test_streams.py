@@ -151,3 +151,29 @@ def test_best_of_the_window_are_read_off_the_classes():
         if len(rows) > 150:
             assert held.leave()[0] == rows.pop(0)[0]
     assert held.classes <= 2 * 151 + 1025 and all(len(held.near[k][1]) <= held.classes for k in held.near)
+
+
+def test_bursts_count_customers_once_without_a_row_per_customer_and_window(spark):
+    from deskstream.session import scratch_path
+
+    start = dt.datetime(2024, 1, 1)
+    rows = [(k, "api", k % 90, start + dt.timedelta(seconds=37 * k % 9000)) for k in range(400)]
+    rows += [(400 + k, "web-app", None, start + dt.timedelta(minutes=7 * k)) for k in range(9)] + [(500, "api", 1, start + dt.timedelta(days=1))]
+    path = scratch_path(spark, "burst-rows")
+    schema = "id BIGINT, product STRING, customer_id BIGINT, created_at TIMESTAMP"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(path)
+    stream = op.stream_burst(spark.readStream.schema(schema).parquet(path), "60 minutes", "1 minute", 3, 2)
+    ran = stream.writeStream.format("memory").queryName("bursts").option("checkpointLocation", scratch_path(spark, "bursts")).trigger(availableNow=True).start()
+    ran.awaitTermination()
+    got = {tuple(r) for r in spark.table("bursts").collect()}
+    minute, want = dt.timedelta(minutes=1), set()
+    for product in ("api", "web-app"):
+        for k in range(-60, 160):
+            a, b = start + k * minute, start + (k + 60) * minute
+            inside = [r for r in rows if r[1] == product and a <= r[3] < b]
+            who = {f"t{r[0]}" if r[2] is None else str(r[2]) for r in inside}
+            if len(inside) >= 3 and len(who) >= 2:
+                want.add((a, b, product, len(inside), len(who)))
+    assert got == want
+    kept = sum(o.numRowsUpdated for p in ran.recentProgress for o in p.stateOperators)
+    assert kept < 10 * len(rows)  # a row per customer and window would be 60 times the tickets
