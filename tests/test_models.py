@@ -93,3 +93,20 @@ def test_isotonic_steps_equal_the_sequential_fit(spark, monkeypatch):
     asked = spark.createDataFrame([(-1.0,), (2.0,), (0.55,), (None,)], "p DOUBLE").select(model.calibrated(F.col("p")).alias("q")).collect()
     assert asked[0]["q"] == means[0] and asked[1]["q"] == means[-1] and means[0] <= asked[2]["q"] <= means[-1]
     assert modelling.isotonic_calibrate(frame.where("p > 5")).x == []
+
+
+def test_term_weights_shuffle_the_text_and_never_write_the_terms(spark, monkeypatch):
+    def refuse(frame):
+        raise AssertionError("the terms of all documents were written")
+
+    monkeypatch.setattr(modelling, "cut_lineage", refuse)
+    rows = spark.createDataFrame([(1, "ab abcde x"), (2, "ab abcd"), (3, "ab"), (4, "")], "id BIGINT, text STRING")
+    for weigh in (modelling.tfidf_char, modelling.tfidf_word):
+        weights = weigh(rows, min_df=1)
+        got = {}
+        for r in weights.collect():
+            got.setdefault(r["id"], {})[r["term"]] = r["weight"]
+        assert all(abs(sum(w * w for w in terms.values()) - 1) < 1e-9 for terms in got.values())
+        if weigh is modelling.tfidf_char:
+            assert sorted(got[3]) == [" ab", " ab ", "ab "] and " x " in got[1] and "abcde" in got[1]
+            assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # in the initial plan and the final one
