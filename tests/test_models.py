@@ -110,3 +110,21 @@ def test_term_weights_shuffle_the_text_and_never_write_the_terms(spark, monkeypa
         if weigh is modelling.tfidf_char:
             assert sorted(got[3]) == [" ab", " ab ", "ab "] and " x " in got[1] and "abcde" in got[1]
             assert weights._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # in the initial plan and the final one
+
+
+def test_texts_are_embedded_in_one_shuffle_and_folds_carry_no_text(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "same words" if k % 3 else f"text {k}") for k in range(200)] + [(200, None), (201, "")], "id BIGINT, text STRING")
+    vectors = modelling.embed_text(rows, modelling.HashedEncoder(8), batch=7)
+    got = {r["id"]: r for r in vectors.collect()}
+    assert sorted(got) == [k for k in range(202) if k != 200]  # no vector without a text
+    encode = modelling.HashedEncoder(8)
+    assert all(r["text"] == ("" if k == 201 else "same words" if k % 3 else f"text {k}") for k, r in got.items())
+    assert all(np.array_equal(np.float32(r["embedding"]), encode([r["text"]])[0]) for r in got.values())
+    assert vectors._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # in the initial plan and the final one
+
+    seen = []
+    kept = modelling.written
+    monkeypatch.setattr(modelling, "written", lambda frame, label="table": seen.append(frame.columns) or kept(frame, label))
+    train = vectors.select("id", "text", array_to_vector("embedding").alias("features"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("y"))
+    probs = modelling.out_of_fold_probs(train.where("id < 150"), train.where("id >= 150"), "y", ["a", "b"], k=2, max_iter=2)
+    assert probs.count() == 201 and seen and all("text" not in columns for columns in seen)
