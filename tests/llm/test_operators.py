@@ -303,6 +303,25 @@ def test_passages(spark, docs, none, real):
     assert passages(none).count() == without_repeats(none).count() == 0
 
 
+def test_passages_of_chains(spark):
+    """Every run of 50 equal words is found, also where the first holder of a window lacks it."""
+    from deskstream.llm.passages import passages
+
+    rng, words = np.random.default_rng(9), prose(90, 3000).split()
+    texts = [(2000 + i, " ".join(words[37 * i : 37 * i + 160])) for i in range(40)] + [(3000, " ".join(words[:1500]))]
+    line = prose(91, 48)  # too short for a passage: what lies beside it decides
+    sides = [(prose(92 + k, 60), prose(192 + k, 60)) for k in range(6)]
+    texts += [(4000 + i, f"{prose(400 + i, 30)} {sides[rng.integers(6)][0]} {line} {sides[rng.integers(6)][1]} {prose(500 + i, 30)}") for i in range(60)]
+    texts += [(5000 + i, f"{prose(600 + i, 30)} {line} {sides[i % 6][1][:40]} {prose(700 + i, 30)}") for i in range(20)]
+    want, got = covered_words(texts), defaultdict(set)
+    spoken = {i: WORD.findall(t) for i, t in texts}
+    for r in passages(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(5)).collect():
+        x, y = (shingles(" ".join(spoken[r[i]][r[s] : r[e]])) for i, s, e in (("doc_id", "start_word", "end_word"), ("first_doc_id", "first_start_word", "first_end_word")))
+        assert r["first_doc_id"] < r["doc_id"] and r["end_word"] - r["start_word"] >= 50 and 4 * len(x & y) >= 3 * len(x | y)
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert {i: want[i] - got[i] for i in want if want[i] - got[i]} == {}
+
+
 def test_changed_passages(spark):
     """Passages of 50 to 70 words with one changed word, at every place, between unlike neighbours."""
     from deskstream.llm.passages import passages
