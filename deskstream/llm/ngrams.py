@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,8 @@ BASE = 55_103  # a prime whose fourth power is below 2^63: code points up to the
 SHARDS = 16
 SHARD_GRAMS = 1 << 16
 TASK_GRAMS = 1 << 20
-PACK_BYTES = 2 << 20
+PACK_BYTES = 1 << 20
+HELD_BYTES = 8 << 20
 ROWS = 1 << 16
 LEAD = np.array([0x7F, 0x7F, 0x1F, 0x0F, 0x07])
 
@@ -233,6 +235,33 @@ def _got(data: bytes, kind: type, rising: bool, unpack) -> np.ndarray:
     return np.cumsum(x, dtype=kind) if rising else x
 
 
+def _by_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows (text and slot third and fourth) again, those of one slot together: about ``PACK_BYTES`` of text, less where more than ``HELD_BYTES`` wait."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    sizes: dict[int, int] = {}
+
+    def out(k: int) -> Iterator[pa.RecordBatch]:
+        del sizes[k]
+        yield from pa.Table.from_batches(held.pop(k)).combine_chunks().to_batches()
+
+    for batch in batches:
+        slot = batch.column(3).to_numpy()
+        length = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
+        for k, at in _by_slot(slot, np.arange(len(slot))):
+            if not len(at):
+                continue
+            part = np.cumsum(length[at]) // PACK_BYTES
+            for some in np.split(at, np.flatnonzero(np.diff(part)) + 1):
+                held.setdefault(k, []).append(batch.take(pa.array(some)))
+                sizes[k] = sizes.get(k, 0) + int(length[some].sum())
+                if sizes[k] >= PACK_BYTES:
+                    yield from out(k)
+        while sum(sizes.values()) > HELD_BYTES:
+            yield from out(max(sizes, key=sizes.get))
+    for k in list(held):
+        yield from out(k)
+
+
 def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFrame:
     """Documents' n-gram counts by shard and slot, many documents to a row.
 
@@ -243,7 +272,7 @@ def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in _by_model(batches):
             row, ids, slot = batch.column(0).to_numpy(), batch.column(1), batch.column(3).to_numpy()
             have = ids.is_valid().to_numpy(zero_copy_only=False)
             ids = np.where(have, ids.fill_null(0).to_numpy(zero_copy_only=False), np.iinfo(np.int64).min).astype(np.int64)
@@ -290,6 +319,11 @@ def _packed(texts: DataFrame, shards: int, figures: Callable | None) -> DataFram
     return texts.mapInArrow(run, PACK_SCHEMA)
 
 
+def copies_of(partitions: int, shards: int, models: float) -> int:
+    """How often a model is copied so that its texts spread: a group for each partition if it stood alone, two where there are more; ``models`` counts those as large as the largest."""
+    return max(1, min(-(-partitions // shards), -(-2 * partitions // int(shards * models))))
+
+
 def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures: Callable | None = None) -> DataFrame:
     """Symbols and bits of every row of ``texts`` (row, doc_id, text, slot, and bigint columns to carry) under the model (slot, code, bits).
 
@@ -297,13 +331,14 @@ def text_bits(texts: DataFrame, model: DataFrame, side: list[str] = (), figures:
 
     ``side`` names the carried columns and then the rows of ``figures(data, bounds)``. Rows whose slot has no model have nothing scored.
     """
-    largest = model.groupBy("slot").count().agg(F.max("count").alias("n")).first()["n"] or 1
+    found = model.groupBy("slot").count().agg(F.max("count").alias("n"), F.sum("count").alias("all")).first()
+    largest, every = found["n"] or 1, found["all"] or 1
     shards = max(SHARDS, 1 << (-(-largest // SHARD_GRAMS) - 1).bit_length())
     parts = model.groupBy((F.col("code") % shards).cast("int").alias("shard"), "slot").agg(F.sort_array(F.collect_list(F.struct("code", "bits"))).alias("m"))
     parts = c.saved(parts.select("shard", "slot", F.col("m.code").alias("keys"), F.col("m.bits").alias("values")), "shards")
     c.discard(model)
     # a leading language holds most rows of every shard: its rows are dealt over salts, the shard's part of the model is copied to each
-    salts = -(-c.partitions(texts.sparkSession) // shards)
+    salts = copies_of(c.partitions(texts.sparkSession), shards, every / largest)
     fields = [f.split()[0] for f in PACK_SCHEMA.split(", ")][2:]
     packed = _packed(texts, shards, figures).withColumns({"salt": (F.crc32("rows") % salts).cast("int"), "keys": F.lit(None).cast("array<bigint>"), "values": F.lit(None).cast("array<double>")})
     copies = parts.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.lit(salts - 1))), **{x: F.lit(None).cast("binary") for x in fields}})

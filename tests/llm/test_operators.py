@@ -381,6 +381,17 @@ def test_compact_windows():
 # op6
 
 
+def test_packed_by_model(spark):
+    """Texts of several models that alternate share one dictionary a model and shard, and models are copied only as far as groups are few."""
+    from deskstream.llm import ngrams as g
+
+    texts = [(i, i, prose(i, 250), 2 * (i % 8)) for i in range(1600)]
+    frame = spark.createDataFrame(texts, "row bigint, doc_id bigint, text string, slot bigint").coalesce(1)
+    packed = g._packed(frame, 16, None).select("shard", "slot").collect()
+    assert len(packed) == len(set(packed)) == 8 * 16
+    assert [g.copies_of(n, 16, m) for n, m in ((211, 8.0), (211, 1.0), (12, 1.5), (3000, 6.0))] == [4, 14, 1, 63]
+
+
 def test_trusted_text_is_whole(spark):
     from deskstream.llm.classifier import flagged, trusted_ids
 
