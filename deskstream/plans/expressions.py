@@ -563,7 +563,5 @@ SELECT id, neg, s / sqrt(s * s + 15) AS compound FROM s""",
     num="neg compound",
 )
 def _sentiment(i: Inputs) -> DataFrame:
-    words = [("wrong", -2.0), ("slow", -1.5), ("breach", -2.5), ("great", 3.0), ("thanks", 2.0), ("please", 1.0)]
-    lexicon = i.spark.createDataFrame(words, "term STRING, valence DOUBLE")
     tokens = i.notes.select("id", text.tokens(F.col("body")).alias("tokens"))
-    return projection.sentiment_lexicon(tokens, F.broadcast(lexicon))
+    return projection.sentiment_lexicon(tokens, F.broadcast(i.lexicon))  # six rows
