@@ -45,6 +45,12 @@ def test_priority_lr_tries_the_whole_grid(inputs, monkeypatch):
     assert given["lexicon"] is not None
 
 
+def test_escalation_gbt_makes_all_trials(inputs, monkeypatch):
+    rows = inputs.spark.createDataFrame([("train", 1.0)], "split STRING, y_index DOUBLE")
+    given = asked(monkeypatch, "escalation_gbt", lambda: plans._gbt(rows))
+    assert given["trials"] == 20 and given["max_iter"] == 100
+
+
 def test_columns_left_out_of_a_wide_fit_change_no_probability(spark):
     """Hashed columns that never vary get no weight, so the fit without them is the fit with them."""
     texts = [f"word{k % 7} again{k % 3} urgent" if k % 2 else f"other{k % 5} today" for k in range(60)]
