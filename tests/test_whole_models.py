@@ -51,6 +51,16 @@ def test_escalation_gbt_makes_all_trials(inputs, monkeypatch):
     assert given["trials"] == 20 and given["max_iter"] == 100
 
 
+def test_contributions_of_every_feature(inputs, monkeypatch):
+    small(monkeypatch)
+    rows = plans._contributions(inputs).collect()
+    names = {}
+    for r in rows:
+        names.setdefault(r["id"], []).append(r["feature"])
+    assert len(names) == plans._texts(inputs).where("split = 'test'").count() > 0
+    assert all(sorted(x) == sorted(modelling.escalation_names()) for x in names.values())
+
+
 def test_columns_left_out_of_a_wide_fit_change_no_probability(spark):
     """Hashed columns that never vary get no weight, so the fit without them is the fit with them."""
     texts = [f"word{k % 7} again{k % 3} urgent" if k % 2 else f"other{k % 5} today" for k in range(60)]
