@@ -61,6 +61,19 @@ def test_contributions_of_every_feature(inputs, monkeypatch):
     assert all(sorted(x) == sorted(modelling.escalation_names()) for x in names.values())
 
 
+def test_batch_score_returns_all_that_it_scores(inputs, monkeypatch):
+    assert asked(monkeypatch, "category_lr", lambda: plans._score(inputs))["grid"] == (1.0, 3.0, 10.0, 30.0)
+    small(monkeypatch)
+    monkeypatch.setattr(modelling, "category_lr", partial(modelling.category_lr, max_iter=2))
+    monkeypatch.setattr(modelling, "priority_lr", partial(modelling.priority_lr, width=1 << 10, max_iter=2))
+    rows = plans._score(inputs).collect()
+    assert len(rows) == plans._texts(inputs).count()
+    for r in rows:
+        assert len(r["factors"]) == 3 and 0 <= r["risk"] <= 1 and 0 < r["priority_conf"] <= 1
+        assert len(r["category_probs"]) == len(CATEGORIES) and len(r["priority_probs"]) == len(PRIORITIES)
+        assert sum(r["category_probs"]) == pytest.approx(1) and sum(r["priority_probs"]) == pytest.approx(1)
+
+
 def test_columns_left_out_of_a_wide_fit_change_no_probability(spark):
     """Hashed columns that never vary get no weight, so the fit without them is the fit with them."""
     texts = [f"word{k % 7} again{k % 3} urgent" if k % 2 else f"other{k % 5} today" for k in range(60)]
