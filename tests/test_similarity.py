@@ -312,3 +312,26 @@ def test_equal_vectors_are_multiplied_once(spark, monkeypatch):
         counts = {r[0]: r[1] for r in blockjoin.similar_recent(frame, 0.5, 20.0, None, block).collect()}
         assert counts == {i: len(near) for i, near in want.items()}
     assert len(seen) == 6 and all(right < 200 for _, right in seen)  # 300 tickets
+
+
+def test_near_duplicates_lose_no_link(spark):
+    """Equal vectors of two labels are a pair, and pairs with the rows they stand for are all pairs above the threshold."""
+    from types import SimpleNamespace
+
+    from deskstream.plans import similarity
+
+    rng = np.random.default_rng(4)
+    base = [v / np.linalg.norm(v) for v in rng.normal(size=(6, 3))]
+    rows = [(k, "val" if k % 3 else "test", k % 2, "x" if k % 11 == 0 else None, base[int(rng.integers(6))].astype(np.float32).tolist()) for k in range(40)]
+    frame = spark.createDataFrame(rows, "ticket_id BIGINT, split STRING, label INT, incident_id STRING, embedding ARRAY<FLOAT>")
+    given = SimpleNamespace(labelled=frame)
+    kept = [r for r in rows if r[3] is None]
+    close = lambda a, b: a[1] == b[1] and a[0] < b[0] and np.dot(np.array(a[4], float), np.array(b[4], float)) > 0.40
+    want = {(a[0], b[0]) for a in kept for b in kept if close(a, b)}
+    pairs = {(r["first_id"], r["second_id"]) for r in similarity._near_pairs(given).collect()}
+    stands = {r["id"]: r["first_id"] for r in similarity._near_members(given).collect()}
+    assert set(stands) == {r[0] for r in kept}
+    linked = lambda a, b: a == b or (min(a, b), max(a, b)) in pairs
+    got = {(a[0], b[0]) for a in kept for b in kept if a[1] == b[1] and a[0] < b[0] and linked(stands[a[0]], stands[b[0]])}
+    assert got == want and pairs <= want
+    assert any(a[4] == b[4] and a[2] != b[2] for a in kept for b in kept if (a[0], b[0]) in pairs)
