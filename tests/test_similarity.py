@@ -335,3 +335,31 @@ def test_near_duplicates_lose_no_link(spark):
     got = {(a[0], b[0]) for a in kept for b in kept if a[1] == b[1] and a[0] < b[0] and linked(stands[a[0]], stands[b[0]])}
     assert got == want and pairs <= want
     assert any(a[4] == b[4] and a[2] != b[2] for a in kept for b in kept if (a[0], b[0]) in pairs)
+
+
+def test_incident_setting_is_chosen_before_the_test_period(spark, monkeypatch):
+    """The query sweeps the days of training and validation alone, and judges the other days and all days at what was chosen."""
+    from types import SimpleNamespace
+
+    from deskstream.operators import evaluate
+    from deskstream.plans import similarity
+
+    rows = [(k, p, at + dt.timedelta(days=23), who, v) for k, p, at, who, v in tickets(n=90, seed=8)]  # 24 and 25 January
+    vectors = spark.createDataFrame(rows, VECTORS)
+    named = vectors.withColumns({"incident_id": F.when(F.col("product") == "api", F.concat(F.lit("I"), F.dayofmonth("created_at")))})
+    given = SimpleNamespace(vectors=vectors, tickets=vectors.withColumnRenamed("ticket_id", "id"), labelled=named)
+    swept = []
+
+    def sweep(v, t, truth, taus, windows, *rest):
+        swept.append([frame.count() for frame in (v, t, truth)])
+        assert taus == similarity.SETTINGS_TAU and windows == similarity.SETTINGS_HOURS
+        return spark.createDataFrame([(0.7, 3.0, True), (0.1, 3.0, False)], "tau DOUBLE, window_h DOUBLE, chosen BOOLEAN")
+
+    monkeypatch.setattr(evaluate, "incident_sweep", sweep)
+    got = {r["period"]: r for r in similarity._incident_eval(given).collect()}
+    late = [r for r in rows if r[2].day > 24]
+    assert swept == [[90 - len(late)] * 3] and 0 < len(late) < 90
+    for period, part in (("test", late), ("full", rows)):
+        want = brute_replay(part, brute_links(part, 0.7, 3.0), similarity.BURST_MINUTES, similarity.MIN_TICKETS, similarity.MIN_CUSTOMERS)
+        assert got[period]["alarms"] == len(want) > 0 and (got[period]["tau"], got[period]["window_h"]) == (0.7, 3.0)
+        assert got[period]["incidents"] == len({r[2].day for r in part if r[1] == "api"})
