@@ -152,3 +152,13 @@ def test_window_cells_are_cut_by_pivots(spark):
     order = [(r[2], r[0]) for r in rows]
     want = sorted((a, b, s[a, b]) for a in range(600) for b in range(600) if order[b] < order[a] and s[a, b] >= 0.7)
     assert pairs(25) == want == pairs(10_000)
+
+
+def test_a_slice_of_some_thousand_tickets_is_not_copied_to_pivots(spark):
+    """A ticket asks in its slice and the one before: no further copies of its vector where a slice fits one chunk."""
+    from deskstream.operators import blockjoin
+
+    vector = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.sin(F.col("ticket_id") * (k + 1)).cast("float"))
+    frame = spark.range(5000).select(F.col("id").alias("ticket_id"), F.lit("api").alias("product"), F.timestamp_seconds(F.col("id")).alias("created_at"))
+    queries, candidates = blockjoin.window_cells(frame.withColumn("embedding", vector), 24.0, 0.1)
+    assert queries.count() == 10_000 and candidates.count() == 5000
