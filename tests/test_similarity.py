@@ -363,3 +363,17 @@ def test_incident_setting_is_chosen_before_the_test_period(spark, monkeypatch):
         want = brute_replay(part, brute_links(part, 0.7, 3.0), similarity.BURST_MINUTES, similarity.MIN_TICKETS, similarity.MIN_CUSTOMERS)
         assert got[period]["alarms"] == len(want) > 0 and (got[period]["tau"], got[period]["window_h"]) == (0.7, 3.0)
         assert got[period]["incidents"] == len({r[2].day for r in part if r[1] == "api"})
+
+
+def test_candidates_of_a_class_never_leave_a_task(spark, monkeypatch):
+    """One join, over rows of classes: no table of pairs of a class and its candidates is laid out for a second one."""
+    rows = tickets(n=120, seed=9)
+    seen, join = [], blockjoin.block_join
+
+    def spied(left, right, *args, **more):
+        seen.append((right.select(F.explode("ids")).count(), right.count()))
+        return join(left, right, *args, **more)
+
+    monkeypatch.setattr(blockjoin, "block_join", spied)
+    assert blockjoin.similar_recent(spark.createDataFrame(rows, VECTORS), 0.7, 3.0).count() == 120
+    assert len(seen) == 1 and seen[0][0] == 120 > seen[0][1]
